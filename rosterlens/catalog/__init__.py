@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["exposure"]
+MODULES = ["exposure", "checks", "sequences"]
 
 
 def load() -> None:

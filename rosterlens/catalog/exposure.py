@@ -8,16 +8,6 @@ from .registry import query, rounded
 KEYS = ["league", "team", "player", "grp"]
 
 
-def windowed(v):
-    return ex.assign_windows(v.player_game, ["league"])
-
-
-def player_window(v):
-    rows = windowed(v)
-    exposed = ex.exposure(rows, [*KEYS, "win"])
-    return ex.value_table(exposed, rows, [*KEYS, "win"], ["value", "offensive", "defensive"])
-
-
 @query("slice_centred_rates", """
     with t as (select *, value / minutes * 90 as per_ninety from v_player_window),
     lv as (select league, win, 90 * sum(value) / sum(minutes) as level from t group by all)
@@ -26,7 +16,7 @@ def player_window(v):
            round(per_ninety - level, 6) as centred
     from t join lv using (league, win)""")
 def _(v):
-    t = ex.centred_rates(player_window(v), ["league", "win"])
+    t = ex.centred_rates(v.player_window, ["league", "win"])
     return rounded(t.select("league", "team", "player", "win", "minutes", "games", "per_ninety",
                             "level", "centred"))
 
@@ -104,7 +94,7 @@ def _(v):
            count(*) filter (where minutes > 0) as games
     from v_windowed group by all""")
 def _(v):
-    return ex.exposure(windowed(v), ["league", "team", "player", "win"])
+    return ex.exposure(v.windowed, ["league", "team", "player", "win"])
 
 
 @query("A5_player_window_values", """
@@ -113,7 +103,9 @@ def _(v):
            round(value / minutes * 90, 6) as per_ninety
     from v_player_window""")
 def _(v):
-    return rounded(player_window(v))
+    exposed = ex.exposure(v.windowed, [*KEYS, "win"])
+    out = ex.value_table(exposed, v.windowed, [*KEYS, "win"], ["value", "offensive", "defensive"])
+    return rounded(out)
 
 
 @query("Q8_rate_of_exposed", """
@@ -128,7 +120,7 @@ def _(v):
     select league, win, round(90 * sum(value) / sum(minutes), 6) as level
     from v_player_window group by all""")
 def _(v):
-    return rounded(ex.levels(player_window(v), ["league", "win"]))
+    return rounded(ex.levels(v.player_window, ["league", "win"]))
 
 
 @query("Q9_population", """
@@ -137,7 +129,7 @@ def _(v):
     where a.win = 1 and b.win = 2 and a.minutes >= 450 and b.minutes >= 270
       and a.grp in ('BUILDING', 'FURNITURE', 'HOUSEHOLD')""")
 def _(v):
-    out = ex.population(player_window(v), ["player"], first=450, second=270, group="grp",
+    out = ex.population(v.player_window, ["player"], first=450, second=270, group="grp",
                         groups=["BUILDING", "FURNITURE", "HOUSEHOLD"])
     return out.select("player", "minutes", "minutes_w2")
 
@@ -200,7 +192,7 @@ def _(v):
            round(corr(rx, ry), 6) as spearman
     from r group by all""")
 def _(v):
-    pairs = ex.window_pairs(player_window(v), ["player"])
+    pairs = ex.window_pairs(v.player_window, ["player"])
     grid = [(a, b) for a in (180, 270, 360, 450) for b in (90, 180, 270)]
     return rounded(ex.threshold_sensitivity(pairs, grid))
 
@@ -209,5 +201,5 @@ def _(v):
     select player, win, round(r - avg(r) over (partition by league, grp), 6) as centred
     from (select *, value / minutes * 90 as r from v_player_window)""")
 def _(v):
-    t = ex.cell_centred(player_window(v), ["league", "grp"], ["per_ninety"])
+    t = ex.cell_centred(v.player_window, ["league", "grp"], ["per_ninety"])
     return rounded(t.select("player", "win", F.col("c_per_ninety").alias("centred")))

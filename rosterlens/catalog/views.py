@@ -11,7 +11,10 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..operators.exposure import assign_windows, window_values
+from ..operators.sequences import buildup_times, with_sequences
 from ..scale import Ordered
 
 # How event types stand in for action types.
@@ -21,12 +24,19 @@ ACTION_TYPES = {
 PITCH = (100.0, 100.0)
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A table's file, its schema read from the footer once per process."""
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     @cached_property
     def entity(self) -> DataFrame:
@@ -50,13 +60,26 @@ class Views:
     @cached_property
     def player_game(self) -> DataFrame:
         """Exposure and value per (player, game); games without lines have zero minutes."""
+        return self._with_lines(self.game)
+
+    @cached_property
+    def windowed(self) -> DataFrame:
+        """The same with each game's window, assigned before the lines are joined."""
+        return self._with_lines(assign_windows(self.game, ["league"]))
+
+    @cached_property
+    def player_window(self) -> DataFrame:
+        keys = ["league", "team", "player", "grp", "win"]
+        return window_values(self.windowed, keys, ["value", "offensive", "defensive"])
+
+    def _with_lines(self, games: DataFrame) -> DataFrame:
         price, cut = F.col("l_extendedprice"), F.col("l_discount")
         lines = self.table("lineitem").groupBy(F.col("l_orderkey").alias("game")).agg(
             F.sum("l_quantity").alias("minutes"), F.sum(price * (1 - cut)).alias("value"),
             F.sum(price).alias("offensive"), F.sum(-price * cut).alias("defensive"),
             F.count(F.lit(1)).alias("lines"))
         zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("minutes", "value", "offensive", "defensive")}
-        return self.game.join(lines, "game", "left").withColumns(
+        return games.join(lines, "game", "left").withColumns(
             zero | {"lines": F.coalesce("lines", F.lit(0))})
 
     @cached_property
@@ -79,6 +102,14 @@ class Views:
             ((k * 7 + 13) % 100).cast("double").alias("end_x"),
             ((k * 53 + 29) % 100).cast("double").alias("end_y"))
 
+    @cached_property
+    def sequenced(self) -> DataFrame:
+        return with_sequences(self.action)
+
+    @cached_property
+    def times(self) -> DataFrame:
+        return buildup_times(self.sequenced)
+
     @cached_property
     def match(self) -> DataFrame:
         """One row per two-team game with its home and away team."""
@@ -203,6 +234,37 @@ VIEW_SQL = {
         from part join (select l_partkey, count(*) as sold,
                                sum(l_extendedprice * (1 - l_discount)) / count(*) as value
                         from lineitem group by 1) on p_partkey = l_partkey""",
+    # sequences of actions
+    "v_seq0": """
+        select *, row_number() over w as pos, lag(team) over w is distinct from team as starts,
+               lead(player) over w as next_player
+        from v_action window w as (partition by game, period order by action)""",
+    "v_seq1": """
+        select *, sum(cast(starts as int)) over w as seq from v_seq0 window w as (partition by game, period order by action)""",
+    "v_seq2": """
+        select *, max(pos) over (partition by game, period, seq) as seq_end,
+               max(pos) over (partition by game, period, run) as run_end,
+               last_value(seconds) over s - first_value(seconds) over s as seq_duration,
+               min(case when type = 'shot' then pos end) over (partition by game, period, seq
+                   order by action rows between current row and unbounded following) as shot_pos
+        from (select *, sum(r) over (partition by game, period order by action) as run
+              from (select *, cast(starts or lag(player) over w is distinct from player as int) as r
+                    from v_seq1 window w as (partition by game, period order by action)))
+        window s as (partition by game, period, seq order by action
+                     rows between unbounded preceding and unbounded following)""",
+    "v_seq": """
+        select *, pos < seq_end and next_player <> player and coalesce(
+                   lead(shot_pos) over w <= lead(run_end) over w, false) as creates,
+               pos < seq_end and next_player <> player and type in ('pass', 'cross') and success
+               and lead(run_end) over w = seq_end
+               and coalesce(last_value(type = 'shot' and success) over (partition by game, period, seq
+                   order by action rows between unbounded preceding and unbounded following), false)
+                   as assist
+        from v_seq2 window w as (partition by game, period order by action)""",
+    "v_times": """
+        with f as (select game, period, seq, arg_min(start_x, pos) as x, min(seconds) as t0,
+                          min(seconds) filter (where end_x >= 70) as t1 from v_seq group by all)
+        select game, period, seq, t1 - t0 as seconds from f where x < 70 and t1 is not null""",
     # player-window exposure and value, used by many queries
     "v_windowed": """
         select *, case when game_day <= ceil(0.6 * max(game_day) over (partition by league))

@@ -95,6 +95,15 @@ def value_table(exposed: DataFrame, values: DataFrame, keys: Sequence[str],
     return per_ninety(joined, {"per_ninety": sums[0]}, minutes)
 
 
+def window_values(rows: DataFrame, keys: Sequence[str], sums: Sequence[str],
+                  minutes: str = "minutes") -> DataFrame:
+    """Exposure and value in one pass, when one table holds both."""
+    totals = rows.groupBy(*keys).agg(
+        F.sum(minutes).alias("minutes"), F.count_if(F.col(minutes) > 0).alias("games"),
+        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums])
+    return per_ninety(totals, {"per_ninety": sums[0]})
+
+
 def levels(rows: DataFrame, by: Sequence[str], value: str = "value",
            minutes: str = "minutes") -> DataFrame:
     """Value per 90 over a whole cell: a ratio of sums."""
@@ -155,10 +164,10 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "sp
     cells = (df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
              .select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
              .groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("_n")))
-    for v in ("_x", "_y"):
-        r = value_ranks(cells, keys, v, "_n", rows)
+    ranked = {v: value_ranks(cells, keys, v, "_n", rows) for v in ("_x", "_y")}
+    for v, r in ranked.items():
         centred = (F.col("middle_rank") - (F.col("total") + 1) / 2).alias(f"_r{v}")
-        cells = lookup(cells, r.select(*keys, v, centred), [*keys, v], "inner", rows)
+        cells = lookup(cells, r.select(*keys, v, centred), [*keys, v], "inner")
     a, b, n = F.col("_r_x"), F.col("_r_y"), F.col("_n")
     sums = cells.groupBy(*keys).agg(
         F.sum(n * a * b).alias("_ab"), F.sum(n * a * a).alias("_aa"), F.sum(n * b * b).alias("_bb"))

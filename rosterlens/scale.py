@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import checkpointed
+
 HOT_ROWS = 2_000_000
 SPLIT_GROUPS = 2_000
 SAMPLES_PER_CHUNK = 50
@@ -28,11 +30,18 @@ def hot_rows(df: DataFrame, rows: int | None = None) -> int:
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether Catalyst's own size estimate says the whole input fits one task."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if "Generate " in plan.toString():
-        return False
-    return int(plan.stats().sizeInBytes()) <= SMALL_BYTES
+    """Whether the files and tables a plan reads are together small enough for one task."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return sum(sizes) <= SMALL_BYTES
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A table worth reading several times: stored first when it is large and costly to derive."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(word in plan for word in ("Join", "Aggregate", "Window")) and not is_small(df):
+        return checkpointed(df)
+    return df
 
 
 def same(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Column:
@@ -92,6 +101,7 @@ class Ordered:
         if _state is not None:
             self._df, self._hot = df, _state
             return
+        df = settled(df)
         hot = hot_groups(df, keys, rows)
         points = None if hot is None else _bounds(df, keys, order, hot, hot_rows(df, rows))
         if points is None:
@@ -113,9 +123,12 @@ class Ordered:
         return Ordered(df, self.keys, self.order, _state=self._hot) if self._hot is not None else (
             _plain(df, self.keys, self.order))
 
-    def _window(self):
+    def _window(self, ahead=False):
+        """Rows before each row; ``ahead`` turns the order round, as a frame that starts at each
+        row and runs to the end would be evaluated anew for every row."""
         part = self.keys + (["_chunk"] if self._hot is not None else [])
-        return Window.partitionBy(*part).orderBy(*self.order)
+        order = [F.desc(c) if ahead else F.asc(c) for c in self.order]
+        return Window.partitionBy(*part).orderBy(*order)
 
     def _chunk_rows(self, *aggs):
         """One row per chunk of the hot groups."""
@@ -135,8 +148,7 @@ class Ordered:
         return joined.drop(*[f"_k_{k}" for k in on])
 
     def _cumulate(self, values, ahead):
-        frame = (0, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, 0)
-        w = self._window().rowsBetween(*frame)
+        w = self._window(ahead).rowsBetween(Window.unboundedPreceding, 0)
         df = self._df.select(
             "*", *[self.OPS[op](c).over(w).alias(n) for n, (op, c) in values.items()])
         if self._hot is None:
@@ -164,6 +176,22 @@ class Ordered:
         """Running value from each row to the group's end."""
         return self._cumulate(values, ahead=True)
 
+    def whole(self, **values: Column) -> Ordered:
+        """Sum over the whole group on each row."""
+        part = self.keys + (["_chunk"] if self._hot is not None else [])
+        w = Window.partitionBy(*part)
+        df = self._df.select("*", *[F.sum(c).over(w).alias(n) for n, c in values.items()])
+        if self._hot is None:
+            return self._next(df)
+        per = self._chunk_rows(*[F.sum(c).alias(f"_c_{n}") for n, c in values.items()])
+        all_chunks = Window.partitionBy(*self.keys)
+        carry = per.select(*self.keys, "_chunk", *[
+            F.sum(f"_c_{n}").over(all_chunks).alias(f"_c_{n}") for n in values])
+        df = self._carry(df, carry)
+        for n in values:
+            df = df.withColumn(n, F.coalesce(f"_c_{n}", n)).drop(f"_c_{n}")
+        return self._next(df)
+
     def _neighbour(self, values, step):
         w = self._window()
         cell = F.struct(*[c.alias(n) for n, c in values.items()])
@@ -215,11 +243,11 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str | No
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("rows"))
     o = Ordered(counts, keys, [value], rows)
-    o = o.upto(_upto=("sum", F.col("rows"))).onward(_onward=("sum", F.col("rows")))
+    o = o.upto(_upto=("sum", F.col("rows"))).whole(total=F.col("rows"))
     return o.df.select(
         *keys, value, "rows",
         (F.col("_upto") - F.col("rows")).alias("below"),
-        (F.col("_upto") + F.col("_onward") - F.col("rows")).alias("total"),
+        "total",
         (F.col("_upto") - (F.col("rows") - 1) / 2).alias("middle_rank"),
     )
 
@@ -244,22 +272,14 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str
     return ranked.groupBy(*keys).agg(*aggs).select(*keys, *outs)
 
 
-def lookup(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left",
-           rows: int | None = None) -> DataFrame:
-    """Join to a table holding each key once, without one task taking a hot key's rows.
+def lookup(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join to a table holding each key once.
 
-    Rows of hot keys meet a broadcast of just those keys' lookup rows (at most SPLIT_GROUPS);
-    the others take the ordinary join, where Spark picks the strategy by measured size.
+    The strategy is Spark's, by measured size. A hot key's rows are spread over several tasks by
+    the adaptive skew join, which is told to do so even if a later step must shuffle again.
     """
-    on = list(on)
-    hot = hot_groups(big.select(*on), on, rows)
-    if hot is None:
-        return big.join(small, on, how)
-    keys = hot.select(*on)
-    hot_small = small.join(F.broadcast(keys), on, "left_semi")
-    top = big.join(F.broadcast(keys), on, "left_semi").join(F.broadcast(hot_small), on, how)
-    rest = big.join(F.broadcast(keys), on, "left_anti").join(small, on, how)
-    return top.unionByName(rest)
+    big.sparkSession.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    return big.join(small, list(on), how)
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], condition: Column | None,
@@ -285,8 +305,7 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], condition:
     return joined if condition is None else joined.filter(condition)
 
 
-def group_values(df: DataFrame, keys: Sequence[str], rows: int | None = None,
-                 **aggs: Column) -> DataFrame:
+def group_values(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Each row with aggregates of its group: combined map-side, then looked up."""
     per = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    return lookup(df, per, keys, "inner", rows)
+    return lookup(df, per, keys, "inner")
