@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["exposure", "checks", "sequences"]
+MODULES = ["exposure", "checks", "sequences", "scoring"]
 
 
 def load() -> None:
