@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["exposure", "checks", "sequences", "scoring"]
+MODULES = ["exposure", "checks", "sequences", "scoring", "search", "models"]
 
 
 def load() -> None:

@@ -423,7 +423,7 @@ def _(v):
     select coalesce(a.player, b.player) as player, round(coalesce(a.r, 0), 3) as first,
            round(coalesce(b.r, 0), 3) as second,
            array_to_string(list_filter([case when a.r is null then 0 end, case when b.r is null then 1 end],
-                           x -> x is not null), ',') as missing
+                           lambda x: x is not null), ',') as missing
     from (select player, value / minutes as r from v_player_window where win = 1) a
     full join (select player, value / minutes as r from v_player_window where win = 2) b on a.player = b.player""")
 def _(v):

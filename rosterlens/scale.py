@@ -256,20 +256,20 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str
               rows: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group, one column per name."""
     ranked = value_ranks(df, keys, value, rows=rows)
-    aggs, outs = [], []
+    aggs = []
     for name, p in probs.items():
         place = (F.col("total") - 1) * F.lit(float(p))
         low, high = F.floor(place), F.ceil(place)
 
-        def at(spot):
-            held = (F.col("below") <= spot) & (spot < F.col("below") + F.col("rows"))
-            return F.max(F.when(held, F.col(value).cast("double")))
+        def held(spot):
+            return (F.col("below") <= spot) & (spot < F.col("below") + F.col("rows"))
 
-        aggs += [at(low).alias(f"_{name}_lo"), at(high).alias(f"_{name}_hi"),
-                 F.max(place - low).alias(f"_{name}_part")]
-        outs.append((F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo"))
-                     * F.col(f"_{name}_part")).alias(name))
-    return ranked.groupBy(*keys).agg(*aggs).select(*keys, *outs)
+        # a value's share in the interpolation; one that holds both ends is taken as it is
+        v, part = F.col(value).cast("double"), place - low
+        share = (F.when(held(low) & held(high), v).when(held(low), v * (1 - part))
+                 .when(held(high), v * part))
+        aggs.append(F.sum(share).alias(name))
+    return ranked.groupBy(*keys).agg(*aggs)
 
 
 def lookup(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
