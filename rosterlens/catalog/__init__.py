@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["exposure", "checks", "sequences", "scoring", "search", "models"]
+MODULES = ["exposure", "checks", "sequences", "scoring", "search", "models", "links", "plans"]
 
 
 def load() -> None:
