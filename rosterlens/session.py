@@ -37,3 +37,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="rosterlens-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the session's shared checkpoint folder, for files between two steps."""
+    import uuid
+
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None)
+    if base is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="rosterlens-scratch-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
