@@ -10,6 +10,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letters that do not decompose into a plain letter and a mark.
 SPECIAL_LETTERS = {
@@ -44,7 +45,7 @@ def _accents() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _accents()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decompose(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks; null stays null."""
     kept = s.str.normalize("NFKD")
@@ -92,7 +93,7 @@ def position_group(name: Column) -> Column:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio, 0 when either is empty; meant for blocked pairs only."""
     matcher = difflib.SequenceMatcher
@@ -122,7 +123,7 @@ def may_reach(a: Column, b: Column, threshold: float) -> Column:
     return (la > 0) & (lb > 0) & (2 * bound >= F.lit(threshold) * total)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """Literal backslash-u escapes in a name become their characters."""
     pattern = re.compile(r"\\u([0-9a-fA-F]{4})")
