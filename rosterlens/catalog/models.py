@@ -166,23 +166,24 @@ def _(v):
                             F.get("coefficients", F.lit(1)).alias("slope"), "r_squared"))
 
 
-CONTROLS = [F.log("price"), F.col("size").cast("double"), F.col("size") * F.col("size") / 10.0,
+def controls():
+    return [F.log("price"), F.col("size").cast("double"), F.col("size") * F.col("size") / 10.0,
             *[(F.col("grp") == g).cast("double") for g in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL")]]
 
 
 @query("M1_controls_residuals")
 def _(v):
-    m, y = v.market, F.log(F.col("value"))
-    fits = md.least_squares(m, [], CONTROLS, y)
-    return rounded(md.with_residuals(m, fits, [], CONTROLS, y).select("id", "residual"), 5)
+    m, y, x = v.market, F.log(F.col("value")), controls()
+    fits = md.least_squares(m, [], x, y)
+    return rounded(md.with_residuals(m, fits, [], x, y).select("id", "residual"), 5)
 
 
 @query("M1_residuals_orthogonal", """
     select 'rows' as test, cast(count(*) as double) as value from v_market
     union all select unnest(['sum', 'price', 'size', 'promo']), 0.0::double""")
 def _(v):
-    m, y = v.market, F.log(F.col("value"))
-    r = md.with_residuals(m, md.least_squares(m, [], CONTROLS, y), [], CONTROLS, y)
+    m, y, x = v.market, F.log(F.col("value")), controls()
+    r = md.with_residuals(m, md.least_squares(m, [], x, y), [], x, y)
     e = F.col("residual")
     sums = r.agg(F.count(e).cast("double").alias("rows"), F.avg(e).alias("sum"), F.avg(e * F.log("price")).alias("price"),
                  F.avg(e * F.col("size")).alias("size"), F.avg(e * (F.col("grp") == "PROMO").cast("int")).alias("promo"))
