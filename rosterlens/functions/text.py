@@ -45,18 +45,20 @@ def _accents() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _accents()
 
 
+_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.combining(chr(c))) + "]+")
+
+
 @F.pandas_udf(T.StringType())
 def _decompose(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks; null stays null."""
-    kept = s.str.normalize("NFKD")
-    return kept.map(lambda x: None if x is None else "".join(
-        c for c in x if not unicodedata.combining(c)), na_action="ignore")
+    return s.map(lambda x: _MARKS.sub("", unicodedata.normalize("NFKD", x)), na_action="ignore")
 
 
 def fold(text: Column) -> Column:
     """Lower-case ASCII words separated by single spaces; null becomes empty.
 
-    Accented Latin letters are translated in the JVM; only rows with other letters reach Python.
+    Accented Latin letters are translated in the JVM; only rows with other characters
+    reach Python.
     """
     t = F.lower(F.regexp_replace(text, " ", " "))
     for letter, plain in SPECIAL_LETTERS.items():
@@ -96,31 +98,38 @@ def position_group(name: Column) -> Column:
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio, 0 when either is empty; meant for blocked pairs only."""
-    matcher = difflib.SequenceMatcher
+    prepared: dict[str, difflib.SequenceMatcher] = {}  # the index over a second name, per batch
 
     def one(x, y):
-        return matcher(None, x, y).ratio() if x and y else 0.0
+        if not x or not y:
+            return 0.0
+        matcher = prepared.get(y)
+        if matcher is None:
+            matcher = prepared[y] = difflib.SequenceMatcher(None, "", y)
+        matcher.set_seq1(x)
+        return matcher.ratio()
 
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def may_reach(a: Column, b: Column, threshold: float) -> Column:
-    """Whether the lengths and shared letters allow the ratio to reach the threshold.
+# The characters folded text is made of, the space apart.
+FOLDED = "abcdefghijklmnopqrstuvwxyz0123456789"
 
-    The matched letters are at most the shorter text's length and at most the letters in common.
-    """
-    la, lb = F.length(a), F.length(b)
-    total = la + lb
-    letters = F.split(F.lit("a b c d e f g h i j k l m n o p q r s t u v w x y z 0 1 2 3 4 5 6 7 8 9"), " ")
-
-    def count(text, c):
-        return F.length(text) - F.length(F.replace(text, c))
-
-    spare = la - F.length(F.translate(a, "abcdefghijklmnopqrstuvwxyz0123456789", ""))
-    outside = F.least(la - spare, lb)
-    common = F.aggregate(letters, F.lit(0), lambda s, c: s + F.least(count(a, c), count(b, c)))
-    bound = F.least(F.least(la, lb), common + outside)
-    return (la > 0) & (lb > 0) & (2 * bound >= F.lit(threshold) * total)
+
+def letter_counts(text: Column) -> Column:
+    """How often each folded character occurs, then everything else together."""
+    size = F.length(text)
+    counts = [size - F.length(F.translate(text, c, "")) for c in FOLDED]
+    return F.array(*counts, F.length(F.translate(text, FOLDED, "")))
+
+
+def may_reach(a: Column, b: Column, counts_a: Column, counts_b: Column, threshold: float) -> Column:
+    """Whether lengths and shared letters allow the ratio to reach the threshold: no more letters
+    can match than two texts have in common."""
+    total = F.length(a) + F.length(b)
+    short = 2 * F.least(F.length(a), F.length(b)) >= F.lit(threshold) * total
+    common = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return (a != "") & (b != "") & short & (2 * common >= F.lit(threshold) * total)
 
 
 @F.pandas_udf(T.StringType())

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import may_reach, similarity, tokens_contained
-from ..scale import salted_join
+from ..functions.text import letter_counts, may_reach, similarity, tokens_contained
+from ..scale import partitions, salted_join
 from ..session import checkpointed
 
 # Acceptance score and margin of the first provider, score of the second.
@@ -26,8 +26,12 @@ def blocked_scores(left: DataFrame, right: DataFrame, block: Sequence[str], id:
     distinct = right.select(*block, F.col(target).alias("_target")).distinct()
     long = left.select(*block, id, F.explode(F.array_distinct(F.array_compact(F.array(*names)))).alias("_name"))
     asked = long.select(*block, "_name").distinct()
-    met = salted_join(asked, distinct, block, None, ["_name"], rows)
-    met = met.filter(may_reach(F.col("_name"), F.col("_target"), floor))
+    asked = asked.withColumn("_la", letter_counts(F.col("_name")))
+    distinct = distinct.withColumn("_lb", letter_counts(F.col("_target")))
+    reach = may_reach(F.col("_name"), F.col("_target"), F.col("_la"), F.col("_lb"), floor)
+    met = salted_join(asked, distinct, block, reach, ["_name"], rows).drop("_la", "_lb")
+    # scoring costs far more than its bytes suggest: a fixed partition count keeps it spread out
+    met = met.repartition(partitions(met), "_name", "_target")
     scored = met.withColumn("score", similarity("_name", "_target")).filter(F.col("score") >= floor)
     mine = long.join(scored, [*block, "_name"])
     hits = mine.join(right.select(*block, other, F.col(target).alias("_target")), [*block, "_target"])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scale import group_values, lookup, settled
+from ..session import checkpointed
 from .scoring import logit
 
 PER90_SQUARED = 8100.0
@@ -142,7 +143,8 @@ def shrinkage_fits(rows: DataFrame, by: Sequence[str], inputs: Sequence[Column],
                         y.cast("double").alias("_y0"), psi.cast("double").alias("_psi"), w.alias("_w"))
     # y is centred on its group's mean first: residual squares by subtraction lose digits otherwise
     named = group_values(named, by, _mean=F.sum(F.col("_w") * F.col("_y0")) / F.sum("_w"))
-    named = named.withColumn("_y", F.col("_y0") - F.col("_mean"))
+    # read by two passes, so stored in between
+    named = checkpointed(named.withColumn("_y", F.col("_y0") - F.col("_mean")))
     x = [F.col(f"_x{i}") for i in range(p)]
     first = named.groupBy(*by).agg(
         F.array(*[F.sum(F.col("_w") * a * b) for i, a in enumerate([*x, F.col("_y")])

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scale import group_values, lookup
+from ..scale import group_values, lookup, partitions
 
 TILE_ROWS = 1024
 
@@ -57,8 +57,8 @@ def _tile_pairs(left: DataFrame, right: DataFrame, block: Sequence[str]) -> Data
 
 
 def _spread(pairs: DataFrame, block: Sequence[str]) -> DataFrame:
-    """Tile pairs dealt evenly over the shuffle partitions."""
-    return pairs.repartition(*block, "l_tile", "r_tile")
+    """Tile pairs dealt over a fixed number of partitions: their work is far above their bytes."""
+    return pairs.repartition(partitions(pairs), *block, "l_tile", "r_tile")
 
 
 def nearest(left: DataFrame, right: DataFrame, block: Sequence[str], id: str, left_vector: str,

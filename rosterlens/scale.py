@@ -44,9 +44,9 @@ def settled(df: DataFrame) -> DataFrame:
     return df
 
 
-def same(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Column:
-    """Null-safe equality of the named columns."""
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in on], F.lit(True))
+def partitions(df: DataFrame) -> int:
+    """The session's shuffle partitions, to be asked for by number where work per byte is high."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame | None:
