@@ -6,6 +6,7 @@ from ..operators import exposure as ex
 from ..operators import models as md
 from ..operators import resample as rs
 from ..operators import scoring as sc
+from ..scale import settled
 from .registry import query, rounded
 
 LEAGUES = [0, 1, 2, 3, 4]
@@ -75,7 +76,7 @@ def estimation(v):
     t = v.player_window.filter("win = 1 and minutes >= 90").withColumn("y", F.col("per_ninety") / SCALE)
     phi = phis(v).select("grp", F.col("phi_v").alias("phi"))
     t = t.join(phi, "grp")
-    return t.withColumn("psi", md.sampling_variance(F.col("phi"), F.col("minutes")))
+    return settled(t.withColumn("psi", md.sampling_variance(F.col("phi"), F.col("minutes"))))
 
 
 def fitted(v, slope=False):

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.exposure import assign_windows, window_values
 from ..operators.sequences import buildup_times, with_sequences
-from ..scale import Ordered
+from ..scale import Ordered, settled
 
 # How event types stand in for action types.
 ACTION_TYPES = {
@@ -104,7 +104,7 @@ class Views:
 
     @cached_property
     def sequenced(self) -> DataFrame:
-        return with_sequences(self.action)
+        return settled(with_sequences(self.action))
 
     @cached_property
     def times(self) -> DataFrame:

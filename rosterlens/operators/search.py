@@ -30,8 +30,9 @@ def tiled(rows: DataFrame, block: Sequence[str], id: str, vector: str, side: str
         rows.agg(F.count(F.lit(1)).alias("_n")))
     tile = F.pmod(F.xxhash64(id), F.ceil(F.col("_n") / tile_rows)).cast("int")
     cell = F.struct(F.col(id).alias("id"), F.col(vector).alias("v"), *[F.col(c) for c in extra])
-    out = sized.groupBy(*block, tile.alias(f"{side}_tile")).agg(F.collect_list(cell).alias("_cells"))
-    return out.select(*block, f"{side}_tile", *[
+    tiles = F.max(F.ceil(F.col("_n") / tile_rows)).cast("int").alias(f"{side}_tiles")
+    out = sized.groupBy(*block, tile.alias(f"{side}_tile")).agg(F.collect_list(cell).alias("_cells"), tiles)
+    return out.select(*block, f"{side}_tile", f"{side}_tiles", *[
         F.col(f"_cells.{c}").alias(f"{side}_{c}") for c in ("id", "v", *extra)])
 
 
@@ -50,15 +51,19 @@ def pair_values(a: np.ndarray, b: np.ndarray, measure: str) -> np.ndarray:
 
 
 def _tile_pairs(left: DataFrame, right: DataFrame, block: Sequence[str]) -> DataFrame:
-    """Every left tile with every right tile of its block."""
-    if block:
-        return left.join(right, list(block))
-    return left.withColumn("_all", F.lit(1)).join(right.withColumn("_all", F.lit(1)), "_all").drop("_all")
+    """Every left tile with every right tile of its block.
 
+    Both sides are copied once per tile of the other, so that the join's key is the tile pair
+    itself: pairs spread evenly, even when one block holds all rows. The number of partitions is
+    asked for, as a pair's work is far above its bytes.
+    """
+    def copied(tiles, other, side, far):
+        count = other.groupBy(*block).agg(F.max(f"{far}_tiles").alias("_far"))
+        sized = lookup(tiles, count, block, "inner") if block else tiles.join(count)
+        out = sized.withColumn(f"{far}_tile", F.explode(F.sequence(F.lit(0), F.col("_far") - 1)))
+        return out.drop("_far", f"{side}_tiles").repartition(partitions(tiles), *block, "l_tile", "r_tile")
 
-def _spread(pairs: DataFrame, block: Sequence[str]) -> DataFrame:
-    """Tile pairs dealt over a fixed number of partitions: their work is far above their bytes."""
-    return pairs.repartition(partitions(pairs), *block, "l_tile", "r_tile")
+    return copied(left, right, "l", "r").join(copied(right, left, "r", "l"), [*block, "l_tile", "r_tile"])
 
 
 def nearest(left: DataFrame, right: DataFrame, block: Sequence[str], id: str, left_vector: str,
@@ -101,7 +106,7 @@ def nearest(left: DataFrame, right: DataFrame, block: Sequence[str], id: str, le
                 yield pd.DataFrame({"id": ids[at[ok]], "other": others[cols[ok]],
                                     "value": values[at[ok], cols[ok]]})
 
-    found = _spread(_tile_pairs(lt, rt, block), block).mapInPandas(best, schema)
+    found = _tile_pairs(lt, rt, block).mapInPandas(best, schema)
     w = Window.partitionBy("id").orderBy(F.col("value") * sign, "other")
     return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
@@ -125,7 +130,7 @@ def own_ranks(rows: DataFrame, block: Sequence[str], id: str, first: str, second
                 yield pd.DataFrame({"id": ids, "own": row.l__own, "rank": near.sum(axis=1),
                                     "k": np.full(len(ids), len(others))})
 
-    pairs = _spread(_tile_pairs(lt, rt, block), block)
+    pairs = _tile_pairs(lt, rt, block)
     parts = pairs.mapInPandas(count, f"id {kind}, own double, rank long, k long")
     return parts.groupBy("id").agg(
         F.first("own").alias("own"), F.sum("rank").alias("rank"), F.sum("k").alias("k"))
@@ -161,7 +166,7 @@ def pair_moments(rows: DataFrame, block: Sequence[str], id: str, first: str, sec
                 yield pd.DataFrame({"n": [d.size], "mean": [d.mean()],
                                     "m2": [((d - d.mean()) ** 2).sum()]})
 
-    parts = _spread(_tile_pairs(lt, rt, block), block).mapInPandas(sums, "n long, mean double, m2 double")
+    parts = _tile_pairs(lt, rt, block).mapInPandas(sums, "n long, mean double, m2 double")
     n, mean = F.col("n"), F.col("mean")
     total = parts.agg(F.sum("n").alias("pairs"), (F.sum(n * mean) / F.sum(n)).alias("mean"),
                       F.sum("m2").alias("_within"), F.sum(n * mean * mean).alias("_square"))
@@ -205,7 +210,7 @@ def combined_ranks(rows: DataFrame, block: Sequence[str], id: str,
                 near = (d <= mine[:, None]) | (ids[:, None] == others[None, :])
                 yield pd.DataFrame({"id": ids, "own": mine, "rank": near.sum(axis=1)})
 
-    parts = _spread(_tile_pairs(lt, rt, block), block).mapInPandas(count, f"id {kind}, own double, rank long")
+    parts = _tile_pairs(lt, rt, block).mapInPandas(count, f"id {kind}, own double, rank long")
     return parts.groupBy("id").agg(F.first("own").alias("own"), F.sum("rank").alias("rank"))
 
 
