@@ -263,11 +263,11 @@ def _(v):
 
 
 @query("C13_season_profiles", f"""
-    with p as ({PROFILE_SQL}), m as (select avg(width) as mw, stddev_samp(width) as sw from p where player % 3 <> 0)
+    with p as ({PROFILE_SQL}), m as (select avg(width) as mw, stddev_samp(width) as sw from p where dribble > 0.2345)
     select team, player, round((width - mw) / sw, 5) as z_width, round((width - mw) / sw - avg((width - mw) / sw) over (partition by team), 5) as c_width from p, m""")
 def _(v):
-    p = profiles(v).select("team", "player", "width")
-    z = pf.standardised(p, pf.moments(p.filter("player % 3 <> 0"), [], ["width"]), [], ["width"])
+    p = profiles(v).select("team", "player", "width", "dribble")
+    z = pf.standardised(p, pf.moments(p.filter("dribble > 0.2345"), [], ["width"]), [], ["width"])
     c = ex.cell_centred(z, ["team"], ["z_width"]).withColumnRenamed("c_z_width", "c_width")
     return rounded(c.select("team", "player", "z_width", "c_width"), 5)
 
@@ -363,10 +363,10 @@ def _(v):
 
 
 @query("C31_evaluation_rows", """
-    select league, count(*) as rows, round(avg((p - y) ** 2), 6) as brier from v_prob where id % 2 = 1 group by 1""")
+    select league, count(*) as rows, round(avg((p - y) ** 2), 6) as brier from v_prob where n_chars > 500 group by 1""")
 def _(v):
-    labels = v.table("labels").filter("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    rows = v.prob.join(labels, "id")
+    labels = v.table("labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    rows = jn.contracted(v.prob.filter("n_chars > 500"), labels, ["id"])
     return rounded(sc.probability_scores(rows, "label", "p", ["league"]).select("league", "rows", "brier"))
 
 

@@ -82,11 +82,12 @@ def _(v):
 
 
 @query("J17_on_nodes", f"""
-    with pc as ({PASS_SQL}), nd as (select distinct team, player from v_action where player % 5 <> 0)
+    with pc as ({PASS_SQL}), nd as (select team, player from v_action group by 1, 2 having count(*) >= 65)
     select pc.* from pc where exists (select 1 from nd where nd.team = pc.team and nd.player = player_a)
     and exists (select 1 from nd where nd.team = pc.team and nd.player = player_b)""")
 def _(v):
-    return jn.on_nodes(passes(v), nodes(v).filter("player % 5 <> 0"), ["team"], "player")
+    regular = v.action.groupBy("team", "player").agg(F.count(F.lit(1)).alias("n")).filter("n >= 65")
+    return jn.on_nodes(passes(v), regular, ["team"], "player")
 
 
 @query("A37_link_statistics", f"""

@@ -254,12 +254,12 @@ def _(v):
 @query("A10_moments_and_z", f"""
     with p as ({PROFILE_SQL}),
     m as (select team, {', '.join(f'avg({d}) as m_{d}, stddev_samp({d}) as s_{d}' for d in ALL)}
-          from p where player % 3 <> 0 group by 1)
+          from p where dribble > 0.2345 group by 1)
     select team, player, {', '.join(f'round(({d} - m_{d}) / s_{d}, 5) as z_{d}' for d in ALL)}
     from p left join m using (team)""")
 def _(v):
     p = profiles(v)
-    stats = pf.moments(p.filter("player % 3 <> 0"), ["team"], ALL)
+    stats = pf.moments(p.filter("dribble > 0.2345"), ["team"], ALL)
     return rounded(pf.standardised(p, stats, ["team"], ALL).select(
         "team", "player", *[f"z_{d}" for d in ALL]), 5)
 
