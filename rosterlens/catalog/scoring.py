@@ -388,18 +388,19 @@ def _(v):
     return v.table("documents").select("doc_id", hit.alias("contained"))
 
 
-@query("X5_position_rules", """
-    select o_orderkey, case when name = 'Goalkeeper' then 'GK' when contains(name, 'Center Back') then 'CB'
-             when contains(name, 'Back') then 'FB' when contains(name, 'Midfield') then 'MID'
-             when contains(name, 'Forward') then 'FWD' end as grp
-    from (select o_orderkey, case o_orderkey % 6 when 0 then 'Goalkeeper' when 1 then 'Left Center Back'
-               when 2 then 'Right Wing Back' when 3 then 'Center Midfield' when 4 then 'Center Forward'
-               else 'Substitute' end as name from orders)""")
-def _(v):
-    k = F.col("o_orderkey") % 6
-    name = (F.when(k == 0, "Goalkeeper").when(k == 1, "Left Center Back").when(k == 2, "Right Wing Back")
-            .when(k == 3, "Center Midfield").when(k == 4, "Center Forward").otherwise("Substitute"))
-    return v.table("orders").select("o_orderkey", tx.position_group(name).alias("grp"))
+POSITIONS = ["Goalkeeper", "Left Center Back", "Right Wing Back", "Left Center Midfield", "Center Attacking Midfield",
+             "Left Midfield", "Right Wing", "Center Forward", "Substitute"]
+
+
+@query("X5_position_rules", f"""
+    with n as (select o_orderkey, ({POSITIONS!r})[o_orderkey % 9 + 1] as name from orders)
+    select o_orderkey, case when name = 'Goalkeeper' then 'GK' when contains(name, 'Center Back') then 'CB' when contains(name, 'Back') then 'FB'
+             when contains(name, 'Defensive Midfield') or contains(name, 'Center Midfield') then 'MID'
+             when contains(name, 'Wing') or contains(name, 'Attacking Midfield') or name in ('Left Midfield', 'Right Midfield') then 'WIDE'
+             when contains(name, 'Forward') or contains(name, 'Striker') then 'FWD' end as grp from n""")
+def _(v):
+    name = F.element_at(F.array(*[F.lit(x) for x in POSITIONS]), (F.col("o_orderkey") % 9 + 1).cast("int"))
+    return v.table("orders").select("o_orderkey", name.alias("name")).select("o_orderkey", tx.position_group(F.col("name")).alias("grp"))
 
 
 @query("X6_logit_and_map", """

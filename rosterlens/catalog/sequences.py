@@ -211,7 +211,7 @@ TEAM_PRESS_SQL = f"""
 
 def pressing(v, keys=("team", "player")):
     a = v.action
-    share = pf.opponent_share(a.filter("type <> 'tackle'"), v.match, ["game"], "game")
+    share = pf.opponent_share(a.filter(F.col("type").isin(*pf.IN_POSSESSION)), v.match, ["game"], "game")
     high = a.filter("type = 'tackle' and start_x > 60")
     if list(keys) == ["team"]:
         return pf.team_pressing(high, share, keys)

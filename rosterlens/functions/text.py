@@ -23,11 +23,25 @@ CLUB_STOP_WORDS = [
 ]
 # Position-name rules in the order tried; each is (group, test, text).
 POSITION_RULES = [
-    ("GK", "equals", "Goalkeeper"), ("CB", "contains", "Center Back"), ("FB", "contains", "Back"),
-    ("WIDE", "contains", "Wing"), ("WIDE", "equals", "Left Midfield"),
-    ("WIDE", "equals", "Right Midfield"), ("MID", "contains", "Midfield"),
-    ("FWD", "contains", "Forward"), ("FWD", "contains", "Striker"),
+    ("GK", "equals", "Goalkeeper"),
+    ("CB", "contains", "Center Back"),
+    ("FB", "contains", "Back"),
+    ("MID", "contains", "Defensive Midfield"),
+    ("MID", "contains", "Center Midfield"),
+    ("WIDE", "contains", "Wing"),
+    ("WIDE", "contains", "Attacking Midfield"),
+    ("WIDE", "equals", "Left Midfield"),
+    ("WIDE", "equals", "Right Midfield"),
+    ("FWD", "contains", "Forward"),
+    ("FWD", "contains", "Striker"),
 ]
+# Groups of the second provider's position names.
+POSITION_GROUPS = {
+    "Goalkeeper": "GK", "Centre-Back": "CB", "Left-Back": "FB", "Right-Back": "FB",
+    "Defensive Midfield": "MID", "Central Midfield": "MID", "Attacking Midfield": "WIDE",
+    "Left Midfield": "WIDE", "Right Midfield": "WIDE", "Left Winger": "WIDE",
+    "Right Winger": "WIDE", "Second Striker": "FWD", "Centre-Forward": "FWD",
+}
 
 
 def _accents() -> tuple[str, str]:
@@ -95,6 +109,11 @@ def position_group(name: Column) -> Column:
     return out
 
 
+def mapped_position(name: Column) -> Column:
+    """The second provider's group, null for a name outside its list."""
+    return F.element_at(F.create_map(*[F.lit(x) for p in POSITION_GROUPS.items() for x in p]), name)
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio, 0 when either is empty; meant for blocked pairs only."""

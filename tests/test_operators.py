@@ -116,6 +116,10 @@ def test_text(spark):
             ("Ｆｕｌｌ width", "full width"), ("éa", "ea"), ("Straße", "strasse"), ("ĲSSEL", "ijssel")]
     df = spark.createDataFrame(rows, "raw string, want string")
     assert df.filter(tx.fold(F.col("raw")) != F.col("want")).count() == 0
+    places = [("Left Wing Back", "FB"), ("Center Attacking Midfield", "WIDE"), ("Right Midfield", "WIDE"), ("Right Center Midfield", "MID"), ("Substitute", None)]
+    df = spark.createDataFrame(places, "raw string, want string")
+    assert df.filter(~tx.position_group(F.col("raw")).eqNullSafe(F.col("want"))).count() == 0
+    assert [r[0] for r in df.limit(1).select(tx.mapped_position(F.lit("Left-Back")), tx.mapped_position(F.lit("x"))).collect()] == ["FB"]
     clubs = [("FC Barcelona", "barcelona"), ("Udinese Calcio", "udinese"), ("Real Betis Balompié SAD", "real betis balompie"), ("AS Monaco", "monaco")]
     assert spark.createDataFrame(clubs, "raw string, want string").filter(tx.fold_club(F.col("raw")) != F.col("want")).count() == 0
     bands = [(999_999, 0), (1_000_000, 1), (2_499_999, 1), (2_500_000, 2), (39_999_999, 5), (40_000_000, 6)]
