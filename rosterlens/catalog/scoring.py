@@ -32,7 +32,9 @@ def _(v):
 
 
 @query("A36_shape_largest_remainder", """
-    with m as (select team, grp, cast(sum(minutes) as bigint) as m from v_player_game group by all),
+    with g as (select distinct c_mktsegment as grp from customer), t as (select distinct team from v_player_game),
+    m as (select team, grp, cast(coalesce(sum(minutes), 0) as bigint) as m from (select t.team, g.grp from t, g)
+          left join v_player_game using (team, grp) group by 1, 2),
     s as (select team, grp, m, sum(m) over (partition by team) as t,
                  (10 * m) // sum(m) over (partition by team) as whole,
                  (10 * m) % sum(m) over (partition by team) as rest from m),

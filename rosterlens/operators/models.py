@@ -211,7 +211,7 @@ def reliability_at(fits: DataFrame, phi: DataFrame, by: Sequence[str], at: Seque
     return out
 
 
-def logistic_recalibration(rows: DataFrame, by: Sequence[str], y: str, p: str, steps: int = 25,
+def logistic_recalibration(rows: DataFrame, by: Sequence[str], y: str, p: str, steps: int = 60,
                            tolerance: float = 1e-10) -> DataFrame:
     """Intercept and slope of y on logit p per group, unpenalised, by Newton steps.
 
@@ -231,6 +231,8 @@ def logistic_recalibration(rows: DataFrame, by: Sequence[str], y: str, p: str, s
         det = F.col("_w") * F.col("_wxx") - F.col("_wx") * F.col("_wx")
         da = F.try_divide(F.col("_wxx") * F.col("_r") - F.col("_wx") * F.col("_rx"), det)
         db = F.try_divide(F.col("_w") * F.col("_rx") - F.col("_wx") * F.col("_r"), det)
+        # a step is held to 2, as a full one can overshoot on few rows
+        da, db = (F.greatest(F.lit(-2.0), F.least(F.lit(2.0), c)) for c in (da, db))
         stepped = sums.select(*by, (F.col("intercept") + F.coalesce(da, F.lit(0.0))).alias("intercept"),
                               (F.col("slope") + F.coalesce(db, F.lit(0.0))).alias("slope"),
                               F.greatest(F.abs(da), F.abs(db)).alias("_step"))
