@@ -29,7 +29,7 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def text_slices(texts: pa.Array, most: int = 16_000_000) -> Iterator[pa.Array]:
+def text_slices(texts: pa.Array, most: int = 8_000_000) -> Iterator[pa.Array]:
     """Consecutive parts of a text column of about `most` bytes each (one text at least), nulls as empty."""
     texts = pc.fill_null(texts, "")
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import checkpointed
 from . import bpe, packing, token_files
 from .common import table
 
@@ -23,7 +24,8 @@ def _query(run):
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces, packed into sequences of at most 2,048 tokens."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return packing.pack_best_fit(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_best_fit(checkpointed(pieces))  # else each task has a second Python worker beside the first
 
 
 @_query
