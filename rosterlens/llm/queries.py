@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from . import bpe, langid, packing, simhash, token_files, toxicity
+from . import bpe, langid, lm, packing, simhash, token_files, toxicity
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
     found = langid.predict(table(spark, sf_dir, "documents", "doc_id", "text"), model)
     return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's probability under the model learned from the documents outside the held-out seventh."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    words, model = lm.train(docs.where(remainder(F.col("doc_id"), 7) != 2))
+    return lm.score(docs, words, model).select(
+        "doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model["N"]).cast("long").alias("train_tokens"), "base_score", "score")
