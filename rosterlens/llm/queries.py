@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from . import bpe, langid, lm, packing, simhash, token_files, toxicity
+from . import bpe, langid, lm, packing, simhash, token_files, topk, toxicity
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,19 @@ def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, model = lm.train(docs.where(remainder(F.col("doc_id"), 7) != 2))
     return lm.score(docs, words, model).select(
         "doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model["N"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@_query
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest products of every 50th vector with all others."""
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+SQL["op5_top_k"] = """
+    with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+               where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+         s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+               from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+         r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+    select query_id, rank, vec_id, score from r where rank <= 5"""
