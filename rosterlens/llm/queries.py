@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from . import bpe, langid, lm, packing, simhash, token_files, topk, toxicity
+from . import bpe, langid, lm, packing, quality, secrets, simhash, token_files, topk, toxicity
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,20 @@ SQL["op5_top_k"] = """
                from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
          r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
     select query_id, rank, vec_id, score from r where rank <= 5"""
+
+
+@_query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's counts and verdict."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = quality.measured(docs, quality.references(docs))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+
+
+@_query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's secrets."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k, *_ in secrets.KINDS), F.sha2(secrets.listed("base_spans"), 256).alias("base_sha256"), secrets.listed("all_spans").alias("spans"))
