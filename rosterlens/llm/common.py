@@ -29,6 +29,12 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+def sealed(*columns: str) -> Column:
+    """The columns as one generated value `_made`: a later filter on one of them is not moved before their making,
+    where the optimizer would put each whole expression in place of its name, inside loops over arrays too."""
+    return F.explode(F.array(F.struct(*columns))).alias("_made")
+
+
 def text_slices(texts: pa.Array, most: int = 8_000_000) -> Iterator[pa.Array]:
     """Consecutive parts of a text column of about `most` bytes each (one text at least), nulls as empty."""
     texts = pc.fill_null(texts, "")

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
 from ..session import checkpointed
+from .common import WORD, sealed
 
 COMMON = 40
 #: Character classes, in the order in which they are taken out of a text; what is left is the last class.
@@ -89,7 +89,7 @@ def measured(docs: DataFrame, refs: dict) -> DataFrame:
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")}).drop("_lines")
     df = _repeat_words(df).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     if not refs:
-        return df.withColumns({"char_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double"), "kept": ~F.col("base_failed")}).select(*kept, *added)
+        return df.withColumns({"char_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double"), "kept": ~F.col("base_failed")}).select(*kept, sealed(*added)).select(*kept, "_made.*")
     chars = F.create_map(*(x for name, (shares, _) in refs.items() for x in (F.lit(name), F.array(*map(F.lit, shares)))))
     words = F.create_map(*(x for name, (_, best) in refs.items() for x in (F.lit(name), F.array(*(F.struct(F.lit(w).alias("w"), F.lit(q).alias("q")) for w, q in best)))))
     every = sorted({w for _, best in refs.values() for w, _ in best})
@@ -111,4 +111,4 @@ def measured(docs: DataFrame, refs: dict) -> DataFrame:
         "char_distance": F.when((total >= LEAST_CHARS) & F.col("_chars").isNotNull(), F.sqrt(F.greatest(zero, F.aggregate(F.zip_with("classes", "_chars", lambda n, q: _part(n / total, q)), zero, lambda a, x: a + x)))),
         "word_distance": F.when((F.col("n_words") >= LEAST_WORDS) & F.col("_ref").isNotNull(), F.sqrt(F.greatest(zero, divergence)))})
     verdict = ~F.col("base_failed") & (F.coalesce("char_distance", zero) <= MAX_CHAR_DISTANCE) & (F.coalesce("word_distance", zero) <= MAX_WORD_DISTANCE)
-    return df.withColumn("kept", verdict).select(*kept, *added)
+    return df.withColumn("kept", verdict).select(*kept, sealed(*added)).select(*kept, "_made.*")

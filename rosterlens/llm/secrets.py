@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import sealed
 from .toxicity import bounded_sample
 
 #: Kind, pattern, group that must have a least length, and that length.
@@ -97,7 +97,7 @@ def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
         return clear & F.transform(F.array(ratio), lambda r: (r >= LEAST_RATIO) & (r >= LEAST_PER_PAIR * (s["end"] - s["start"] - 1)))[0]
 
     more = F.when(F.size("_candidates") > 0, F.filter("_candidates", random_looking)).otherwise(F.array().cast(_SPAN))
-    return df.withColumn("all_spans", F.sort_array(F.concat("base_spans", more))).select(*kept, "base_spans", "all_spans")
+    return df.withColumn("all_spans", F.sort_array(F.concat("base_spans", more))).select(*kept, sealed("base_spans", "all_spans")).select(*kept, "_made.*")
 
 
 def listed(spans: str) -> Column:
