@@ -485,14 +485,19 @@ def _(v):
 
 
 @query("Q21_list_edits", """
-    with t as (select p_brand, list_sort(list(p_partkey)) as base from part group by 1)
-    select p_brand, len(list_filter(base, lambda x: x % 3 <> 0)) + 2 as n,
-           list_sum(list_concat(list_filter(base, lambda x: x % 3 <> 0), [-1, -2]))::bigint as total from t""")
+    with t as (select p_brand, list_sort(list(p_partkey)) as base, list_sort(list(p_partkey) filter (p_size <= 10)) as gone,
+                      list_sort(list(p_partkey + 1) filter (p_partkey % 5 = 0)) as more from part group by 1),
+    k as (select *, list_filter(base, lambda x: not coalesce(list_contains(gone, x), false)) as kept from t),
+    e as (select p_brand, list_concat(kept, list_filter(coalesce(more, []), lambda x: not list_contains(kept, x))) as ids from k)
+    select p_brand, len(ids) as n, list_sum(ids)::bigint as total, array_to_string(ids, ',') as ids from e""")
 def _(v):
+    key = F.col("p_partkey")
     per = v.table("part").groupBy("p_brand").agg(
-        F.sum(F.when(F.col("p_partkey") % 3 != 0, 1).otherwise(0)).alias("n"),
-        F.sum(F.when(F.col("p_partkey") % 3 != 0, F.col("p_partkey")).otherwise(0)).alias("total"))
-    return per.select("p_brand", (F.col("n") + 2).alias("n"), (F.col("total") - 3).alias("total"))
+        F.sort_array(F.collect_list(key)).alias("base"), F.sort_array(F.collect_list(F.when(F.col("p_size") <= 10, key))).alias("gone"),
+        F.sort_array(F.collect_list(F.when(key % 5 == 0, key + 1))).alias("more"))
+    ids = per.select("p_brand", gr.edited(F.col("base"), F.col("gone"), F.col("more")).alias("ids"))
+    return ids.select("p_brand", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"),
+                      F.array_join("ids", ",").alias("ids"))
 
 
 @query("M10_calibrated_routing", """

@@ -206,3 +206,9 @@ def class_counts(rows: DataFrame, column: str, classes: Sequence[str]) -> DataFr
     listed = spark.createDataFrame([(c,) for c in classes], f"{column} string")
     counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     return listed.join(counts, column, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def edited(values: Column, removed: Column, added: Column) -> Column:
+    """A list after an edit: its values without the removed ones, in order and once each, then those added that it lacks."""
+    kept = F.array_except(values, removed)
+    return F.concat(kept, F.array_except(added, kept))

@@ -123,9 +123,12 @@ def assign(scores: DataFrame, block: Sequence[str], row: str, column: str, digit
 
     Auction rounds: each free row bids for the column worth most to it, a column keeps its highest
     bid and frees its former row. Scores count in whole steps of 10^-digits times (rows + 1), so a
-    bid raise of one step makes the end result exact. Rows must not outnumber columns, and each
-    row needs a score for every column of its block (missing ones count as a score of 0).
+    bid raise of one step makes the end result exact. Each row needs a score for every column of its block (missing ones count as a score of 0).
+    Raises when a block has more rows than columns, and when `most` rounds leave rows without a column.
     """
+    sizes = scores.groupBy(*block).agg(F.countDistinct(row).alias("_rows"), F.countDistinct(column).alias("_columns"))
+    if sizes.filter("_rows > _columns").limit(1).count():
+        raise ValueError("a block has more rows than columns")
     scaled = scores.withColumn("_v", F.round(F.col("score") * 10**digits).cast("long"))
     n = scaled.select(*block, row).distinct().groupBy(*block).agg((F.count(F.lit(1)) + 1).alias("_steps"))
     values = checkpointed(scaled.join(n, list(block)).select(
@@ -152,6 +155,8 @@ def assign(scores: DataFrame, block: Sequence[str], row: str, column: str, digit
         held = held_next.drop("_moved")
         if not moved:
             break
+    else:
+        raise RuntimeError(f"assignment unfinished after {most} rounds")
     return held.filter("_row is not null").select(*block, F.col("_row").alias(row), column)
 
 

@@ -240,4 +240,6 @@ def logistic_recalibration(rows: DataFrame, by: Sequence[str], y: str, p: str, s
         coefs = spark.createDataFrame(found, stepped.schema).drop("_step")
         if all((f["_step"] or 0.0) < tolerance for f in found):
             break
+    else:
+        raise RuntimeError(f"no convergence in {steps} steps, as with outcomes that p separates")
     return coefs

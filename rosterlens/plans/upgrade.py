@@ -23,7 +23,12 @@ BUDGETS = [5_000_000, 10_000_000, 20_000_000, 40_000_000, 80_000_000]
 CAPS = [1, 2, 3]
 INTERVAL_Z = 1.645
 REASONS = ["more places than signings", "too few candidates", "budget too small"]
-PLACES = 10
+
+
+def _first(numbered: DataFrame, shape: DataFrame, places: str, club: str, group: str) -> DataFrame:
+    """The rows of each club and group numbered up to the places its shape has there, however many."""
+    most = shape.groupBy(club, group).agg(F.max(places).alias("_most"))
+    return lookup(numbered, most, [club, group], "inner").filter("_n <= _most").drop("_most")
 
 
 def skyline(rows: DataFrame, keys: Sequence[str], k: int, price: str = "price", value: str = "value",
@@ -47,7 +52,7 @@ def own_parts(own: DataFrame, shape: DataFrame, club: str, group: str, k: int) -
     """Per club, group and number of additions: value and displaced variance of the own players
     left in; rows only where the own players suffice."""
     w = Window.partitionBy(club, group).orderBy(F.desc("value"), "id")
-    top = own.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= PLACES)
+    top = _first(own.withColumn("_n", F.row_number().over(w)), shape, "places", club, group)
     joined = lookup(shape, top.select(club, group, "_n", "value", "sd", "id"), [club, group])
     counts = joined.groupBy(club, group, "places").agg(
         F.count("_n").alias("_own"),
@@ -158,7 +163,7 @@ def infeasible(own: DataFrame, candidates: DataFrame, shape: DataFrame, budgets:
     needs = shape.join(counts, [club, group], "left").withColumn(
         "need", F.greatest(F.lit(0), F.col("places") - F.coalesce("_own", F.lit(0))))
     w = Window.partitionBy(club, group).orderBy("price", "id")
-    cheap = candidates.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= PLACES)
+    cheap = _first(candidates.withColumn("_n", F.row_number().over(w)), needs, "need", club, group)
     fill = needs.join(cheap.select(club, group, "_n", "price"), [club, group], "left").groupBy(club, group, "need").agg(
         F.count("_n").alias("_have"), F.coalesce(F.sum(F.when(F.col("_n") <= F.col("need"), F.col("price"))), F.lit(0.0)).alias("_cost"))
     per = fill.groupBy(club).agg(F.sum("need").alias("needed"), F.max((F.col("_have") < F.col("need"))).alias("_few"),

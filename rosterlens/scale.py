@@ -276,9 +276,9 @@ def lookup(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left
     """Join to a table holding each key once.
 
     The strategy is Spark's, by measured size. A hot key's rows are spread over several tasks by
-    the adaptive skew join, which is told to do so even if a later step must shuffle again.
+    the adaptive skew join; a session that sets spark.sql.adaptive.forceOptimizeSkewedJoin has it
+    do so even if a later step must shuffle again.
     """
-    big.sparkSession.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return big.join(small, list(on), how)
 
 
