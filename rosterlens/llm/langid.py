@@ -100,7 +100,7 @@ def forward_backward(scores: np.ndarray, bounds: np.ndarray, transitions: np.nda
     nth = np.arange(first_run[-1]) - first_run[run_text]
     begin = bounds[run_text] + nth * _STEP
     size = np.minimum(_STEP, bounds[run_text + 1] - begin)
-    m = len(begin)
+    m, first = len(begin), np.flatnonzero(nth == 0)
     at = np.minimum(begin[:, None] + np.arange(_STEP), n - 1)
     inside = np.arange(_STEP) < size[:, None]
     potential = np.where(inside[:, :, None], e[at], 1.0)
@@ -111,6 +111,8 @@ def forward_backward(scores: np.ndarray, bounds: np.ndarray, transitions: np.nda
     product = np.broadcast_to(np.eye(labels), (m, labels, labels)).copy()
     for j in range(_STEP):
         stepped = (product.reshape(-1, labels) @ a).reshape(m, labels, labels) * potential[:, j][:, None, :]
+        if j == 0:  # a text's first word has no transition before it
+            stepped[first] = product[first] * potential[first, 0][:, None, :]
         product = np.where(inside[:, j][:, None, None], scaled(stepped, (1, 2)), product)
     # entering: state before a run; leaving: what follows it
     entering, leaving = np.full((m, labels), 1.0 / labels), np.ones((m, labels))
@@ -126,7 +128,10 @@ def forward_backward(scores: np.ndarray, bounds: np.ndarray, transitions: np.nda
     alpha = np.empty((m, _STEP, labels))
     state = entering
     for j in range(_STEP):
-        state = np.where(inside[:, j][:, None], scaled((state @ a) * potential[:, j], 1), state)
+        stepped = (state @ a) * potential[:, j]
+        if j == 0:
+            stepped[first] = potential[first, 0]
+        state = np.where(inside[:, j][:, None], scaled(stepped, 1), state)
         alpha[:, j] = state
     gamma = np.empty((m, _STEP, labels))
     expected = np.zeros((labels, labels))

@@ -57,20 +57,29 @@ def _part(p: Column, q: Column) -> Column:
     return F.when(p > 0, p / 2 * F.log2(p / mid)).otherwise(0.0) + F.when(q > 0, q / 2 * F.log2(q / mid)).otherwise(0.0)
 
 
+_PLACE_BITS = 22
+
+
 def _repeat_words(df: DataFrame) -> DataFrame:
     """Adds n_repeat_words: words in three-word windows that the text holds twice or more.
 
-    Windows stand by a 64-bit hash and their place; sorted, equal ones are neighbours. Every array is a
-    column of its own, so that no step computes another's again for each element.
+    A first sort of plain numbers, the upper bits of a window's 64-bit hash above its place, finds the
+    windows that may repeat; they alone are then compared by their whole hashes. Every array is a column
+    of its own, so that no step computes another's again for each element.
     """
     df = df.withColumn("_n", F.greatest(F.size("_words") - 2, F.lit(0)))
     df = df.withColumn("_windows", F.when(F.col("_n") > 0, F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.xxhash64(F.col("_words")[i], F.col("_words")[i + 1], F.col("_words")[i + 2]))))
-    df = df.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    last = F.size("_sorted") - 1
-    df = df.withColumn("_places", F.sort_array(F.transform(F.filter("_sorted", lambda x, i: F.when(i > 0, x["h"] == F.col("_sorted")[F.greatest(i - 1, F.lit(0))]["h"]).otherwise(False) | F.when(
-        i < last, x["h"] == F.col("_sorted")[F.least(i + 1, last)]["h"]).otherwise(False)), lambda x: x["i"])))
+    low = (1 << _PLACE_BITS) - 1
+    df = df.withColumn("_packed", F.when(F.col("_n") <= low, F.sort_array(F.transform("_windows", lambda h, i: F.shiftleft(h, _PLACE_BITS).bitwiseOR(i.cast("long"))))))
+    same = lambda x, at: F.shiftright(x, _PLACE_BITS) == F.shiftright(F.get(F.col("_packed"), at), _PLACE_BITS)
+    df = df.withColumn("_maybe", F.filter("_packed", lambda x, i: F.coalesce(same(x, i + 1), F.lit(False)) | F.coalesce(same(x, i - 1), F.lit(False))))
+    # a text of more words than places have bits for is compared by whole hashes alone
+    places = F.when(F.col("_n") <= low, F.transform("_maybe", lambda x: x.bitwiseAND(F.lit(low).cast("long")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("_n") - 1))
+    df = df.withColumn("_sorted", F.sort_array(F.transform(places, lambda i: F.struct(F.col("_windows")[i].alias("h"), i.alias("i")))))
+    whole = lambda x, at: F.coalesce(x["h"] == F.get(F.col("_sorted"), at)["h"], F.lit(False))
+    df = df.withColumn("_places", F.sort_array(F.transform(F.filter("_sorted", lambda x, i: whole(x, i + 1) | whole(x, i - 1)), lambda x: x["i"])))
     covered = F.aggregate("_places", F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")))["n"]
-    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_n", "_windows", "_sorted", "_places")
+    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_n", "_windows", "_packed", "_maybe", "_sorted", "_places")
 
 
 def measured(docs: DataFrame, refs: dict) -> DataFrame:
@@ -91,16 +100,19 @@ def measured(docs: DataFrame, refs: dict) -> DataFrame:
     if not refs:
         return df.withColumns({"char_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double"), "kept": ~F.col("base_failed")}).select(*kept, sealed(*added)).select(*kept, "_made.*")
     chars = F.create_map(*(x for name, (shares, _) in refs.items() for x in (F.lit(name), F.array(*map(F.lit, shares)))))
-    words = F.create_map(*(x for name, (_, best) in refs.items() for x in (F.lit(name), F.array(*(F.struct(F.lit(w).alias("w"), F.lit(q).alias("q")) for w, q in best)))))
+    words = F.create_map(*(x for name, (_, best) in refs.items() for x in (F.lit(name), F.array(*(F.struct(F.lit(f" {w} ").alias("w"), F.lit(q).alias("q")) for w, q in best)))))
     every = sorted({w for _, best in refs.values() for w, _ in best})
-    total = F.length("_text").cast("double")
-    # common words in one string, each between spaces of its own: a count is a difference of lengths
-    common = F.filter(F.transform("_words", F.lower), lambda w: w.isin(every)) if every else F.array().cast("array<string>")
-    df = df.withColumns({"_chars": chars[F.col("lang")], "_ref": words[F.col("lang")], "_common": F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" "))})
-    length = F.length("_common")
+    df = df.withColumn("_total", F.length("_text").cast("double"))
+    total = F.col("_total")
+    # common words, written small, with a capital or in capitals, in one string, each between spaces of its own:
+    # a count is a difference of lengths
+    written = sorted({form for w in every for form in (w, w[:1].upper() + w[1:], w.upper())})
+    common = F.filter("_words", lambda w: w.isin(written)) if every else F.array().cast("array<string>")
+    df = df.withColumns({"_chars": chars[F.col("lang")], "_ref": words[F.col("lang")], "_common": F.lower(F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" ")))})
+    length = F.octet_length("_common")
 
     def word_part(acc: Column, r: Column) -> Column:
-        n = (length - F.length(F.replace(F.col("_common"), F.concat(F.lit(" "), r["w"], F.lit(" ")), F.lit("")))) / (F.length(r["w"]) + 2)
+        n = (length - F.octet_length(F.replace(F.col("_common"), r["w"], F.lit("")))) / F.octet_length(r["w"])
         p = n / F.col("n_words")
         return F.struct((acc["d"] + _part(p, r["q"])).alias("d"), (acc["p"] + p).alias("p"), (acc["q"] + r["q"]).alias("q"))
 
