@@ -9,7 +9,7 @@ text's language is the one with the largest share of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 
 from .common import Words, remainder, text_slices, words_of
 from .simhash import _ranges
-from .toxicity import bounded_sample
 
 GRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 UNKNOWN = "und"
 _STEP = 32
+#: Text labelled at once, for bounded memory.
+SLICE_BYTES = 1_500_000
 
 
 def letter_words(texts: pa.Array) -> Words:
@@ -65,11 +66,19 @@ def word_features(unique: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return features, bounds, word_hash
 
 
-def emissions(model: dict, unique: pa.Array) -> np.ndarray:
+def word_blocks(unique: pa.Array, most: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The features of `most` words at a time."""
+    for i in range(0, len(unique), most):
+        features, bounds, hashes = word_features(unique.slice(i, most))
+        yield features.astype(np.int32), bounds, hashes
+
+
+def emissions(model: dict, blocks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
     """Score of each label for each different word."""
-    if not len(unique):
-        return np.zeros((0, len(model["labels"])))
-    features, bounds, hashes = word_features(unique)
+    return np.concatenate([np.zeros((0, len(model["labels"]))), *(_emitted(model, *block) for block in blocks)])
+
+
+def _emitted(model: dict, features: np.ndarray, bounds: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     scores = np.add.reduceat(model["grams"][features], bounds[:-1], axis=0)  # a word has at least its marks
     return scores / np.sqrt(np.diff(bounds))[:, None] + lexicon_entries(model, hashes)
 
@@ -148,11 +157,20 @@ def forward_backward(scores: np.ndarray, bounds: np.ndarray, transitions: np.nda
     return gamma[inside], expected
 
 
+def _parts_of(bounds: np.ndarray, most: int = 200_000) -> Iterator[tuple[int, int]]:
+    """Consecutive texts of about `most` words together (one text at least): all of them, a part at a time for bounded memory."""
+    a = 0
+    while a < len(bounds) - 1:
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + most, "right")) - 1)
+        yield a, b
+        a = b
+
+
 def train(words: Words, label_of_text: np.ndarray, labels: list[str], rounds: int = 20, rate: float = 0.3, lexicon: int = 300) -> dict:
     """Fits the field by gradient steps (Adam) on the likelihood of each word carrying its text's label."""
     k, n_words = len(labels), len(words.code)
-    features, bounds, hashes = word_features(words.unique)
-    root = np.sqrt(np.diff(bounds))
+    blocks = list(word_blocks(words.unique))
+    hashes = np.concatenate([np.zeros(0, np.uint64), *(h for _, _, h in blocks)])
     gold = label_of_text[words.row]
     counts = np.bincount(words.code * k + gold, minlength=len(words.unique) * k).reshape(-1, k)
     frequent = np.unique(np.concatenate([np.argsort(-counts[:, j], kind="stable")[:lexicon] for j in range(k)])) if n_words else np.zeros(0, np.int64)
@@ -164,14 +182,22 @@ def train(words: Words, label_of_text: np.ndarray, labels: list[str], rounds: in
     moved = np.zeros((k, k))
     np.add.at(moved, (label_of_text, label_of_text), np.maximum(words.counts - 1, 0))
     for step in range(1, rounds + 1 if n_words else 1):
-        per_word = emissions(model, words.unique)
-        gamma, expected = forward_backward(per_word[words.code], words.bounds, model["moves"])
-        w = weight[gold]
-        excess = np.stack([np.bincount(words.code, gamma[:, j] * w, len(words.unique)) for j in range(k)], axis=1) - counts * weight
+        per_word = emissions(model, blocks)
+        excess, expected = -counts * weight, np.zeros((k, k))
+        for a, b in _parts_of(words.bounds):
+            at = slice(words.bounds[a], words.bounds[b])
+            code, w = words.code[at], weight[gold[at]]
+            gamma, moves = forward_backward(per_word[code], words.bounds[a:b + 1] - words.bounds[a], model["moves"])
+            excess += np.stack([np.bincount(code, gamma[:, j] * w, len(words.unique)) for j in range(k)], axis=1)
+            expected += moves
         excess /= n_words
-        spread = np.repeat(excess / root[:, None], np.diff(bounds), axis=0)
-        slopes = {"grams": np.stack([np.bincount(features, spread[:, j], BUCKETS) for j in range(k)], axis=1) + 1e-7 * model["grams"],
-                  "entries": excess[frequent] + 1e-7 * model["entries"], "moves": (expected - moved) / n_words + 1e-3 * model["moves"]}
+        grams, begin = 1e-7 * model["grams"], 0
+        for features, bounds, _ in blocks:
+            counted = np.diff(bounds)
+            spread = np.repeat(excess[begin:begin + len(counted)] / np.sqrt(counted)[:, None], counted, axis=0)
+            grams += np.stack([np.bincount(features, spread[:, j], BUCKETS) for j in range(k)], axis=1)
+            begin += len(counted)
+        slopes = {"grams": grams, "entries": excess[frequent] + 1e-7 * model["entries"], "moves": (expected - moved) / n_words + 1e-3 * model["moves"]}
         for p, g in slopes.items():
             mean, square = state[p]
             mean += 0.1 * (g - mean)
@@ -229,13 +255,13 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         labels = np.array(model["labels"], dtype=object)
         for batch in batches:
             langs, scores = [], []
-            for part in text_slices(batch.column("text")):
+            for part in text_slices(batch.column("text"), SLICE_BYTES):
                 words = letter_words(part)
                 if not len(labels):
                     langs.append(np.full(len(part), UNKNOWN, dtype=object))
                     scores.append(np.zeros(len(part)))
                     continue
-                gamma, _ = forward_backward(emissions(model, words.unique)[words.code], words.bounds, model["moves"])
+                gamma, _ = forward_backward(emissions(model, word_blocks(words.unique))[words.code], words.bounds, model["moves"])
                 counts = words.counts
                 share = np.zeros((len(part), len(labels)))
                 full = np.flatnonzero(counts)
