@@ -44,44 +44,25 @@ POSITION_GROUPS = {
 }
 
 
-def _accents() -> tuple[str, str]:
-    """Lower-case Latin letters that decompose into one plain letter, by the Unicode tables."""
-    source, target = [], []
-    for code in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]:
-        c = chr(code)
-        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if c == c.lower() and len(base) == 1 and base.isascii() and base.isalnum():
-            source.append(c)
-            target.append(base)
-    return "".join(source), "".join(target)
-
-
-_ACCENTED, _PLAIN = _accents()
+_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.combining(chr(c))) + "]+")
 
 
-_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.combining(chr(c))) + "]+")
+_LETTERS = str.maketrans(SPECIAL_LETTERS)
 
 
 @F.pandas_udf(T.StringType())
 def _decompose(s: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks; null stays null."""
-    return s.map(lambda x: _MARKS.sub("", unicodedata.normalize("NFKD", x)), na_action="ignore")
+    """Special letters written plainly, then compatibility decomposition without combining marks; null stays null."""
+    return s.map(lambda x: _MARKS.sub("", unicodedata.normalize("NFKD", x.translate(_LETTERS))), na_action="ignore")
 
 
 def fold(text: Column) -> Column:
     """Lower-case ASCII words separated by single spaces; null becomes empty.
 
-    Accented Latin letters are translated in the JVM; only rows with other characters
-    reach Python.
+    Rows in plain ASCII stay in the JVM; of the others each is sent to Python once.
     """
-    t = F.lower(F.regexp_replace(text, " ", " "))
-    for letter, plain in SPECIAL_LETTERS.items():
-        if len(plain) > 1:
-            t = F.replace(t, F.lit(letter), F.lit(plain))
-    single = {a: b for a, b in SPECIAL_LETTERS.items() if len(b) == 1}
-    t = F.translate(t, _ACCENTED + "".join(single), _PLAIN + "".join(single.values()))
-    odd = t.rlike("[^\\x00-\\x7F]")
-    t = F.coalesce(_decompose(F.when(odd, t)), t)
+    low = F.lower(text)
+    t = F.coalesce(_decompose(F.when(text.rlike("[^\\x00-\\x7F]"), low)), low)
     return F.coalesce(F.trim(F.regexp_replace(t, "[^a-z0-9]+", " ")), F.lit(""))
 
 

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from .session import checkpointed
 
 HOT_ROWS = 2_000_000
-SPLIT_GROUPS = 2_000
 SAMPLES_PER_CHUNK = 50
 SMALL_BYTES = 32 * 1024 * 1024
 
@@ -50,18 +49,17 @@ def partitions(df: DataFrame) -> int:
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame | None:
-    """The largest groups above the limit with their sizes, or None when there are none.
+    """All groups above the limit with their sizes, or None when there are none.
 
-    At most SPLIT_GROUPS come back; any group beyond them holds less than that fraction of the
-    input, which one task among thousands can take.
+    There are at most as many as the limit goes into the rows, which bounds a broadcast of them.
     """
     explicit = rows is not None
     limit = hot_rows(df, rows)
     if not explicit and is_small(df):
         return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
-    top = counts.orderBy(F.desc("_rows")).limit(SPLIT_GROUPS).collect()
-    return df.sparkSession.createDataFrame(top, counts.schema) if top else None
+    found = checkpointed(counts)
+    return None if found.isEmpty() else found
 
 
 def _bounds(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame, limit: int):
@@ -83,8 +81,8 @@ def _bounds(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataF
         " i -> _sample[cast(floor(i * size(_sample) / _chunks) as int)])"
     )
     found = sample.select(*[F.col(k).alias(f"_h_{k}") for k in keys], points.alias("_points"))
-    rows = found.collect()
-    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
+    stored = checkpointed(found)
+    return None if stored.isEmpty() else stored
 
 
 class Ordered:
