@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 from .common import partitions, text_slices, words_of
 
+#: Text fingerprinted at once, for bounded memory.
+SLICE_BYTES = 1_500_000
+
 
 def shingle_hashes(texts: pa.Array, size: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 of every run of `size` lower-cased words, repeats included, and each text's bounds among them.
@@ -75,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [majority_bits(*shingle_hashes(t, shingle)) for t in text_slices(batch.column(1))]
+            parts = [majority_bits(*shingle_hashes(t, shingle)) for t in text_slices(batch.column(1), SLICE_BYTES)]
             if parts:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts).view(np.int64))], names=["doc_id", "fp"])
 
