@@ -232,7 +232,8 @@ def fit(docs: DataFrame, most: int = 4_000) -> dict:
         model = train(letter_words(pa.concat_arrays(texts)), np.array([place[x] for x in langs]), labels)
         yield pa.RecordBatch.from_arrays([pa.array([model[p].astype(t).tobytes()]) for p, t in _PARTS], names=[p for p, _ in _PARTS])
 
-    row = chosen.repartition(1).mapInArrow(fitted, ", ".join(f"{p} binary" for p, _ in _PARTS)).first()
+    row = chosen.repartition(1).sortWithinPartitions("doc_id", "lang", "text").mapInArrow(  # the same fit however the rows arrive
+        fitted, ", ".join(f"{p} binary" for p, _ in _PARTS)).first()
     k = len(labels)
     parts = {p: np.frombuffer(row[p], t) for p, t in _PARTS}
     return {"labels": labels} | {p: v if p == "lexicon" else v.reshape(-1, k) for p, v in parts.items()}

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import remainder, text_slices, words_of
 
@@ -129,15 +130,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 16
             done = 0
             for row, bucket, n in term_rows(batch.column("text")):
                 bounds = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(done, n), pa.ListArray.from_arrays(pa.array(bounds), pa.array(bucket.astype(np.int32)))], names=["label", "terms"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, n), batch.column("label").slice(done, n), pa.ListArray.from_arrays(pa.array(bounds), pa.array(bucket.astype(np.int32)))], names=["doc_id", "label", "terms"])
                 done += n
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels_, counts, terms = [], [], []
         for batch in batches:
-            labels_.append(batch.column(0).to_numpy(zero_copy_only=False))
-            counts.append(np.diff(np.asarray(batch.column(1).offsets)))
-            terms.append(batch.column(1).flatten().to_numpy(zero_copy_only=False))
+            labels_.append(batch.column("label").to_numpy(zero_copy_only=False))
+            counts.append(np.diff(np.asarray(batch.column("terms").offsets)))
+            terms.append(batch.column("terms").flatten().to_numpy(zero_copy_only=False))
         if not labels_:
             return
         n = np.concatenate(counts)
@@ -145,8 +146,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 16
         used = np.flatnonzero(model["place"] >= 0)
         yield pa.RecordBatch.from_arrays([pa.array([model["b"]]), pa.array([used.astype("<i4").tobytes()]), pa.array([model["w"].astype("<f4").tobytes()]), pa.array([model["v"].astype("<f4").tobytes()])], names=["b", "used", "w", "v"])
 
-    sampled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")  # bounded by `most`
-    row = sampled.mapInArrow(terms_of, "label double, terms array<int>").repartition(1).mapInArrow(fitted, "b double, used binary, w binary, v binary").first()
+    sampled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # bounded by `most`
+    termed = sampled.mapInArrow(terms_of, sampled.select("doc_id").schema.add("label", "double").add("terms", T.ArrayType(T.IntegerType())))
+    # sorted, so that the fit is the same however the rows arrive, as after a lost executor
+    row = termed.repartition(1).sortWithinPartitions("doc_id", "terms").mapInArrow(fitted, "b double, used binary, w binary, v binary").first()
     if row is None:
         return {"b": 0.0, "w": np.zeros(0), "v": np.zeros((0, 1)), "place": np.full(BUCKETS, -1)}
     used = np.frombuffer(row["used"], "<i4")
