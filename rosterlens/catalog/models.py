@@ -11,7 +11,8 @@ from .registry import query, rounded
 
 LEAGUES = [0, 1, 2, 3, 4]
 SCALE = 1e5
-REPLICATES = 200
+REPLICATES = 2_000
+PERMUTATIONS = 200
 
 PG = """select league, team, player, grp, game, game_day, win, minutes, value / 1e5 as v,
                offensive / 1e5 as o from v_windowed where win = 1 and minutes > 0"""
@@ -191,15 +192,16 @@ def _(v):
     return rounded(sums.unpivot([], ["rows", "sum", "price", "size", "promo"], "test", "value"))
 
 
+# the generated outcomes hardly follow p, and some leagues' slopes fall
 @query("M9_logistic_recalibration")
 def _(v):
-    return rounded(md.logistic_recalibration(v.prob, ["league"], "y", "p"))
+    return rounded(md.logistic_recalibration(v.prob, ["league"], "y", "p", falling=True))
 
 
 @query("M9_score_residuals", """
     select league, 0.0::double as residual, 0.0::double as residual_x, count(*) as rows from v_prob group by 1""")
 def _(v):
-    coef = md.logistic_recalibration(v.prob, ["league"], "y", "p")
+    coef = md.logistic_recalibration(v.prob, ["league"], "y", "p", falling=True)
     q = v.prob.join(coef, "league")
     r = F.col("y") - sc.recalibrated(F.col("p"), F.col("intercept"), F.col("slope"))
     return rounded(q.groupBy("league").agg(F.sum(r).alias("residual"), F.sum(r * sc.logit(F.col("p"))).alias("residual_x"),
@@ -271,7 +273,7 @@ def _(v):
 
 
 @query("M25_bootstrap_spearman", f"""
-    with {DRAWS.replace(f'range({REPLICATES})', 'range(20)')},
+    with {DRAWS},
     p as (select a.league, a.team, a.minutes as x, b.minutes as y from v_player_window a join v_player_window b using (player)
           where a.win = 1 and b.win = 2),
     r as (select replicate, x, y from drawn join p using (league, team), range(times) u),
@@ -280,8 +282,7 @@ def _(v):
     select cast(replicate as int) as replicate, round(corr(rx, ry), 6) as value from k group by 1""")
 def _(v):
     p = ex.window_pairs(v.player_window, ["league", "team", "player"])
-    mult = rs.draws(v.entity, "league", "team", 20)
-    return rounded(rs.bootstrap_spearman(p, mult, ["league", "team"], "minutes_w1", "minutes_w2"))
+    return rounded(rs.bootstrap_spearman(p, multiplicity(v), ["league", "team"], "minutes_w1", "minutes_w2"))
 
 
 @query("M28_permutation_null", """
@@ -295,6 +296,33 @@ def _(v):
     return rs.permuted(per, "league", "player", "minutes", 20)
 
 
+NULL_SQL = f"""
+    s as (select league, player, sum(minutes) as minutes, sum(value) as value from v_player_game group by all),
+    k as (select league, player, rank() over (partition by league order by minutes) + (count(*) over (partition by league, minutes) - 1) / 2.0 as rm,
+                 rank() over (partition by league order by value) + (count(*) over (partition by league, value) - 1) / 2.0 as rv from s),
+    r as (select k.*, replicate, ('0x' || substr(md5('0-' || replicate || '-' || player), 1, 8))::bigint as h from k, range({PERMUTATIONS}) t(replicate)),
+    a as (select replicate, league, rv, row_number() over (partition by replicate, league order by player) as n from r),
+    b as (select replicate, league, rm, row_number() over (partition by replicate, league order by h, player) as n from r),
+    c as (select replicate, league, corr(rv, rm) as rho from a join b using (replicate, league, n) group by 1, 2)"""
+
+
+def null_correlations(v):
+    per = v.player_game.groupBy("league", "player").agg(F.sum("minutes").alias("minutes"), F.sum("value").alias("value"))
+    return rs.permuted_spearman(per, "league", "player", "minutes", "value", PERMUTATIONS)
+
+
+@query("M28_null_correlations", f"""
+    with {NULL_SQL} select cast(replicate as int) as replicate, league, round(rho, 6) as rho from c""")
+def _(v):
+    return rounded(null_correlations(v))
+
+
+@query("M28_null_summary", f"""
+    with {NULL_SQL} select league, count(rho) as replicates, round(avg(rho), 6) as mean_rho, round(max(abs(rho)), 6) as largest_rho from c group by 1""")
+def _(v):
+    return rounded(rs.null_summary(null_correlations(v), ["league"]))
+
+
 @query("C8_dispersion_job", f"""
     select grp, players, round(phi, 8) as phi, round(8100 * phi / 450, 6) as psi_450, round(8100 * phi / 900, 6) as psi_900 from ({PHI})""")
 def _(v):

@@ -33,6 +33,17 @@ def require_unique(df: DataFrame, keys: Sequence[str], what: str = "duplicate ke
     return df
 
 
+def held_once(df: DataFrame, keys: Sequence[str], what: str = "duplicate key") -> DataFrame:
+    """The rows, checked within the plan: running it stops at a key held more than once.
+
+    Grouping deals rows by the keys, so a join on them needs no shuffle of its own, and the input is read once.
+    """
+    others = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in others])
+    stop = F.raise_error(F.concat(F.lit(f"{what}: "), F.to_json(F.struct(*keys)))).cast("boolean")
+    return one.filter(F.when(F.col("_rows") == 1, F.lit(True)).otherwise(stop)).select(*df.columns)
+
+
 # Marks of text decoded with the wrong table, or not unescaped.
 SUSPICIOUS = ["Ã", "Â", "\\"]
 

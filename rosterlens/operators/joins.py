@@ -8,16 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import lookup, salted_join
-from .checks import require_empty, require_unique
+from .checks import held_once, require_empty
 
 
 def contracted(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
                contract: str = "one_to_one") -> DataFrame:
-    """A join that stops when a side that must hold each key once does not."""
+    """A join whose result stops, when it is run, if a side that must hold each key once does not."""
     if contract.startswith("one"):
-        require_unique(left, on, "left key repeated")
+        left = held_once(left, on, "left key repeated")
     if contract.endswith("one"):
-        require_unique(right, on, "right key repeated")
+        right = held_once(right, on, "right key repeated")
     return lookup(left, right, on, how)
 
 

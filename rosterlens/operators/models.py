@@ -212,11 +212,12 @@ def reliability_at(fits: DataFrame, phi: DataFrame, by: Sequence[str], at: Seque
 
 
 def logistic_recalibration(rows: DataFrame, by: Sequence[str], y: str, p: str, steps: int = 60,
-                           tolerance: float = 1e-10) -> DataFrame:
+                           tolerance: float = 1e-10, falling: bool = False) -> DataFrame:
     """Intercept and slope of y on logit p per group, unpenalised, by Newton steps.
 
     A step is one aggregate of five sums per group over all rows; only a step's coefficients, one
-    row per group, come to the driver.
+    row per group, come to the driver. Stops when a group's slope is not above 0: such p order the
+    outcomes the wrong way round and cannot be recalibrated. `falling` takes those as they are.
     """
     by = list(by)
     data = settled(rows.select(*by, logit(F.col(p)).alias("_x"), F.col(y).cast("double").alias("_y")))
@@ -242,4 +243,7 @@ def logistic_recalibration(rows: DataFrame, by: Sequence[str], y: str, p: str, s
             break
     else:
         raise RuntimeError(f"no convergence in {steps} steps, as with outcomes that p separates")
+    wrong = [f.asDict() for f in found if f["slope"] <= 0]
+    if wrong and not falling:
+        raise ValueError(f"slope not above 0: {wrong[:3]}")
     return coefs

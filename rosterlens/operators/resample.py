@@ -105,3 +105,26 @@ def permuted(rows: DataFrame, stratum: str, id: str, value: str, replicates: int
     by_id = numbered(reps.select(*keys, id), keys, [id], "_n", times)
     by_hash = numbered(reps.select(*keys, "_h", F.col(id).alias("_i"), value), keys, ["_h", "_i"], "_n", times)
     return by_id.join(by_hash.select(*keys, "_n", value), [*keys, "_n"]).drop("_n")
+
+
+def permuted_spearman(rows: DataFrame, stratum: str, id: str, value: str, against: str, replicates: int,
+                      seed: int = 0) -> DataFrame:
+    """Rank correlation of a fixed column with the permuted values, one row per replicate and stratum.
+
+    Permuting moves ranks, it does not change them: both columns are ranked once per stratum, and a
+    replicate only sums products of ranks.
+    """
+    ranked = rows.select(stratum, id, value, against).withColumn("_one", F.lit(1))
+    for c, name in ((value, "_rv"), (against, "_ra")):
+        r = weighted_middle_ranks(ranked, [stratum], c, "_one")
+        ranked = lookup(ranked, r.select(stratum, c, (F.col("rank") - (F.col("total") + 1) / 2).alias(name)), [stratum, c], "inner")
+    dealt = permuted(ranked, stratum, id, "_rv", replicates, seed)
+    out = dealt.join(ranked.select(stratum, id, "_ra"), [stratum, id])
+    v, a = F.col("_rv"), F.col("_ra")
+    sums = out.groupBy("replicate", stratum).agg(F.sum(v * a).alias("_va"), F.sum(v * v).alias("_vv"), F.sum(a * a).alias("_aa"))
+    return sums.select("replicate", stratum, F.try_divide(F.col("_va"), F.sqrt(F.col("_vv") * F.col("_aa"))).alias("rho"))
+
+
+def null_summary(correlations: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Replicates, mean and largest absolute correlation per group."""
+    return correlations.groupBy(*by).agg(F.count("rho").alias("replicates"), F.avg("rho").alias("mean_rho"), F.max(F.abs("rho")).alias("largest_rho"))

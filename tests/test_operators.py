@@ -18,6 +18,7 @@ from rosterlens.operators import groups as gr
 from rosterlens.operators import joins as jn
 from rosterlens.operators import linkage as lk
 from rosterlens.operators import models as md
+from rosterlens.operators import resample as rs
 from rosterlens.operators import search as se
 from rosterlens.operators import sequences as sq
 from rosterlens.plans import upgrade as up
@@ -73,9 +74,39 @@ def test_latest_values(spark):
 
 
 def test_contract_stops_on_a_repeated_key(spark):
-    a = spark.createDataFrame([(1,), (1,)], "k int")
-    with pytest.raises(ck.ContractError):
-        jn.contracted(a, a, ["k"])
+    once = spark.createDataFrame([(1, "x"), (2, None), (None, "z")], "k int, name string")
+    twice = spark.createDataFrame([(1, 5), (1, 6), (3, 7)], "k int, n int")
+    with pytest.raises(Exception, match="right key repeated.*1"):
+        jn.contracted(once, twice, ["k"]).select("k").collect()
+    with pytest.raises(Exception, match="left key repeated.*1"):
+        jn.contracted(twice, once, ["k"]).count()
+    many = jn.contracted(twice, once, ["k"], "left", "many_to_one").collect()
+    assert sorted(map(tuple, many)) == [(1, 5, "x"), (1, 6, "x"), (3, 7, None)]
+    assert [tuple(r) for r in jn.contracted(once, once.withColumnRenamed("name", "other"), ["k"]).orderBy("k").collect()] == [
+        (1, "x", "x"), (2, None, None)]
+
+
+def test_recalibration_stops_on_a_falling_slope(spark):
+    rows = spark.createDataFrame([("a", y, p) for p, ones in ((0.2, 7), (0.5, 5), (0.8, 3)) for y in [1] * ones + [0] * (10 - ones)], "g string, y int, p double")
+    with pytest.raises(ValueError, match="slope not above 0"):
+        md.logistic_recalibration(rows, ["g"], "y", "p")
+    (got,) = md.logistic_recalibration(rows, ["g"], "y", "p", falling=True).collect()
+    x, y = np.log([0.25, 1.0, 4.0]), np.log([7 / 3, 1.0, 3 / 7])  # a logit line goes through all three shares
+    assert np.allclose([got["intercept"], got["slope"]], [0.0, (y[2] - y[0]) / (x[2] - x[0])])
+
+
+def test_permuted_spearman(spark):
+    data = [("s", i, float(v), a) for i, (v, a) in enumerate([(1, 3), (2, 3), (2, 9), (5, 1), (7, 4), (9, 8)])] + [("t", 9, 1.0, 2)]
+    rows = spark.createDataFrame(data, "s string, id int, v double, a int")
+    got = rs.permuted_spearman(rows, "s", "id", "v", "a", 5).collect()
+    dealt = rs.permuted(rows, "s", "id", "v", 5).join(rows.select("id", "a"), "id").toPandas()
+    assert len(got) == 10 and all(r["rho"] is None for r in got if r["s"] == "t")
+    for r in (r for r in got if r["s"] == "s"):
+        part = dealt[(dealt["replicate"] == r["replicate"]) & (dealt["s"] == "s")]
+        assert np.isclose(r["rho"], part["v"].rank().corr(part["a"].rank()))
+    (s, t) = rs.null_summary(spark.createDataFrame(got), ["s"]).orderBy("s").collect()
+    rho = [r["rho"] for r in got if r["s"] == "s"]
+    assert s["replicates"] == 5 and np.isclose(s["mean_rho"], np.mean(rho)) and np.isclose(s["largest_rho"], np.abs(rho).max()) and t["mean_rho"] is None
 
 
 def test_mirror_labels(spark):
