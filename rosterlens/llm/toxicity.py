@@ -90,6 +90,7 @@ def train(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, factors: in
     b = float(np.log(share / (1 - share)))
     w, v = np.zeros(len(used)), rng.normal(0, 0.01, (len(used), factors))
     gw, gv = np.full(len(used), 1e-3), np.full((len(used), factors), 1e-3)
+    spot = np.zeros(len(used), dtype=np.int64)  # a term's place among those of the batch
     for _ in range(epochs if len(used) else 0):
         order = rng.permutation(len(labels))
         for a in range(0, len(order), batch):
@@ -104,7 +105,9 @@ def train(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, factors: in
             m = b + np.bincount(of, w[at], len(some)) + pair
             slope = (1 / (1 + np.exp(-np.clip(m, -30, 30))) - labels[some])
             b -= 0.02 * slope.mean()
-            touched, inverse = np.unique(at, return_inverse=True)
+            touched = np.flatnonzero(np.bincount(at, minlength=len(used)))
+            spot[touched] = np.arange(len(touched))
+            inverse = spot[at]
             g = np.bincount(inverse, slope[of], len(touched)) / len(some) + decay * w[touched]
             gw[touched] += g ** 2
             w[touched] -= rate * g / np.sqrt(gw[touched])
