@@ -372,7 +372,7 @@ def _(v):
 
 MARGIN = """
     cl as (select id, y, row_number() over (partition by y order by id) - 1 as slot, count(*) over (partition by y) as n from v_prob),
-    pk as (select replicate, y, ('0x' || substr(md5('0-' || replicate || '-' || y || '-' || slot), 1, 8))::bigint % n as slot from cl, range(20) r(replicate)),
+    pk as (select replicate, y, ('0x' || substr(md5('0-' || replicate || '-' || y || '-' || slot), 1, 8))::bigint % n as slot from cl, range(2000) r(replicate)),
     dr as (select replicate, y, id, p, n_chars % 100 / 100.0::double as q from pk join cl using (y, slot) join (select id, p, n_chars from v_prob) using (id)),
     rk as (select *, rank() over (partition by replicate order by p) + (count(*) over (partition by replicate, p) - 1) / 2 as rp,
                   rank() over (partition by replicate order by q) + (count(*) over (partition by replicate, q) - 1) / 2 as rq from dr),
@@ -384,7 +384,7 @@ MARGIN = """
     with {MARGIN} select cast(replicate as int) as replicate, round((sp - sq) / (a * b), 6) as margin from au""")
 def _(v):
     rows = v.prob.select("id", "y", "p", (F.col("n_chars") % 100 / 100).alias("q"))
-    mult = rs.draws(rows, "y", "id", 20)
+    mult = rs.draws(rows, "y", "id", 2000)
     drawn = mult.join(rows.select("id", "p", "q"), "id")
 
     def area(score):
