@@ -1,6 +1,7 @@
 """The pipeline's stages on the smallest tables: decisions take effect and columns stay."""
 
 import os
+import random
 
 import pytest
 
@@ -30,3 +31,43 @@ def test_stages(spark):
 def test_empty_table(spark, place):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     assert corpus_pipeline.STAGES[place][1](spark, docs, FOLDER).count() == 0
+
+
+def test_near_copies_against_brute_force(spark):
+    """Edited copies of texts: one of each group that five-word shingles of Jaccard 0.8 or more link is kept."""
+    rng = random.Random(3)
+    texts = [None, "", " ", "one two", "One  two", "one two three"]
+    for n in [5, 6, 9, 20, 60, 200, 1000] * 4:
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        texts.append(" ".join(base))
+        for edits in (1, n // 60, n // 40, n // 25, n // 10):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(n)] = f"v{rng.randrange(5000)}"
+            texts.append(" ".join(copy))
+    hot = [f"h{rng.randrange(5000)}" for _ in range(100)]
+    for _ in range(400):  # a large group of near copies, held against one document in several parts
+        copy = list(hot)
+        copy[rng.randrange(100)] = f"v{rng.randrange(5000)}"
+        texts.append(" ".join(copy))
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    group = list(range(len(texts)))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common and common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+                group[max(find(a), find(b))] = min(find(a), find(b))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, FOLDER).collect()}
+    assert kept == {find(i) for i in range(len(texts))}
