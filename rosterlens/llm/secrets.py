@@ -1,7 +1,7 @@
 """Secrets in texts: fixed patterns, and strings that look random to character Markov models.
 
 Two models of character pairs, one of random strings and one of ordinary identifiers, are trained from
-samples that the fixed patterns label; a string is a secret when the first explains it so much better
+what the fixed patterns label in all documents; a string is a secret when the first explains it so much better
 than the second. Only DataFrame functions are used; places are code points, ends exclusive.
 """
 
@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import sealed
-from .toxicity import bounded_sample
 
 #: Kind, pattern, group that must have a least length, and that length.
 KINDS = (
@@ -47,18 +46,19 @@ def _pairs(chars: Column) -> Column:
     return F.when(n > 0, F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda a, b: F.concat(a, b)))
 
 
-def train(docs: DataFrame, most: int = 8_192, prior: float = 0.5) -> list[float]:
-    """Log-likelihood ratio of each character pair, from about `most` documents at most (a bounded sample by hash of doc_id).
+def train(docs: DataFrame, prior: float = 0.5) -> list[float]:
+    """Log-likelihood ratio of each character pair, from all documents.
 
     What the fixed patterns find is labelled random; words of ten letters, hyphens and underscores or more are labelled
     ordinary. At most one row per pair and label is collected. Without samples of both labels every ratio is 0.
     """
     text = F.coalesce("text", F.lit(""))
-    sample = bounded_sample(docs.select("doc_id", "text"), most)
     values = [F.regexp_extract_all(text, F.lit(p), F.lit(g)) for _, p, g, _ in KINDS]
-    secret = sample.select(F.lit(1).alias("label"), F.explode(F.concat(*(F.filter(v, lambda x, n=n: F.length(x) >= n) for v, (_, _, _, n) in zip(values, KINDS, strict=True)))).alias("s"))
-    plain = sample.select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_-]{9,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("s"))
-    counted = secret.union(plain).select("label", F.explode(_pairs(F.split("s", ""))).alias("pair")).groupBy("label", "pair").count()
+    secret = F.concat(*(F.filter(v, lambda x, n=n: F.length(x) >= n) for v, (_, _, _, n) in zip(values, KINDS, strict=True)))
+    plain = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_-]{9,}(?![A-Za-z0-9+/_=-])"), F.lit(0))
+    labelled = docs.select(F.explode(F.array(F.struct(F.lit(1).alias("label"), secret.alias("found")), F.struct(F.lit(0).alias("label"), plain.alias("found")))).alias("x"))
+    strings = labelled.select("x.label", F.explode("x.found").alias("s"))
+    counted = strings.select("label", F.explode(_pairs(F.split("s", ""))).alias("pair")).groupBy("label", "pair").count()
     n = len(ALPHABET)
     place = {c: i for i, c in enumerate(ALPHABET)}
     tables = [[[prior] * n for _ in range(n)] for _ in range(2)]
