@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -79,25 +80,29 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
 
 
 class Memo:
-    """Values of keys, made many at once and kept between batches: at most about twice `keep` entries.
+    """Values of keys, made many at once and kept between batches: at most about `most` bytes.
 
     Two generations: when the newer one is full it becomes the older one, from which keys still in
     use move back. The bound is on memory alone; a forgotten key is made again.
     """
 
-    def __init__(self, make: Callable[[list], dict], keep: int = 300_000):
-        self.make, self.keep, self.new, self.old = make, keep, {}, {}
+    def __init__(self, make: Callable[[list], dict], most: int = 64_000_000):
+        self.make, self.half, self.size, self.new, self.old = make, most // 2, 0, {}, {}
+
+    def _keep(self, made: dict) -> None:
+        self.new.update(made)
+        self.size += 100 * len(made) + sum(map(getsizeof, made)) + sum(map(getsizeof, made.values()))
 
     def holding(self, keys: set) -> dict:
-        if len(self.new) > self.keep:
-            self.old, self.new = self.new, {}
+        if self.size > self.half:
+            self.old, self.new, self.size = self.new, {}, 0
         missing = keys - self.new.keys()
         if missing and self.old:
             again = {k: self.old[k] for k in missing & self.old.keys()}
-            self.new.update(again)
+            self._keep(again)
             missing -= again.keys()
         if missing:
-            self.new.update(self.make(list(missing)))
+            self._keep(self.make(list(missing)))
         return self.new
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from . import bpe, langid, lm, packing, quality, secrets, simhash, token_files, topk, toxicity
+from . import bpe, langid, lm, merkle, packing, quality, runs, secrets, simhash, token_counts, token_files, topk, toxicity
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,65 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(docs, secrets.train(docs))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k, *_ in secrets.KINDS), F.sha2(secrets.listed("base_spans"), 256).alias("base_sha256"), secrets.listed("all_spans").alias("spans"))
+
+
+@_query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's bytes and tokens."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+@_query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, and the root folded again after half of the texts have lost their line ends."""
+    docs = table(spark, sf_dir, "documents", *merkle.COLUMNS)
+    tampered = (remainder(F.col("doc_id"), 2) == 0) & F.contains("text", F.lit("\n"))
+    found = merkle.manifest(docs, claimed=(tampered, {"text": F.replace("text", F.lit("\n"), F.lit(""))}), with_proofs=False)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+#: Levels written out in the manifest's SQL: groups of up to 3^12 rows, and as many groups.
+_LEVELS = 12
+
+
+def _manifest_sql() -> str:
+    size = lambda c: f"coalesce(strlen(cast({c} as varchar)) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(size, ('doc_id', 'source', 'lang', 'n_chars')))} || {size(text)})"
+    crc = ("xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(cast(doc_id as varchar)) + 1), lambda i: ascii(substr(cast(doc_id as varchar), i, 1)))),"
+           " lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)")
+    parts = [f"""with t0 as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by source) as size
+        from (select doc_id, source, {leaf("text")} as leaf, case when coalesce({crc}, 0) % 2 = 0 then {leaf("replace(text, chr(10), '')")} else {leaf("text")} end as claimed from documents)),
+        n0 as (select coalesce('1' || source, '0') as g, pos, size, leaf as d from t0)"""]
+
+    def levels(n: str, sides: str) -> None:
+        for k in range(_LEVELS + 1):
+            parts.append(f"""{sides}{k} as (select g, pos, size, coalesce(string_agg(d, '') over (partition by g, pos // 3 order by pos rows between unbounded preceding and 1 preceding), '') as l,
+                coalesce(string_agg(d, '') over (partition by g, pos // 3 order by pos rows between 1 following and unbounded following), '') as r from {n}{k})""")
+            if k < _LEVELS:
+                parts.append(f"""{n}{k + 1} as (select g, pos // 3 as pos, cast(ceil(max(size) / 3.0) as bigint) as size,
+                    case when max(size) = 1 then max(d) else sha256(string_agg(d, '' order by pos)) end as d from {n}{k} group by g, pos // 3)""")
+
+    levels("n", "s")
+    parts.append(f"m0 as (select '' as g, row_number() over (order by g) - 1 as pos, count(*) over () as size, d, g as own from n{_LEVELS})")
+    levels("m", "z")
+    parts.append("""f0 as (select t0.doc_id, t0.leaf, t0.claimed as f, '' as proof, coalesce('1' || t0.source, '0') as g, t0.pos, m0.pos as place, m0.d as subroot from t0 join m0 on m0.own = coalesce('1' || t0.source, '0'))""")
+    at = "f{k}"
+    for k in range(2 * _LEVELS):
+        side, on = (f"s{k}", f"x.g = f.g and x.pos = f.pos // {3**k}") if k < _LEVELS else (f"z{k - _LEVELS}", f"x.pos = f.place // {3**(k - _LEVELS)}")
+        parts.append(f"""f{k + 1} as (select f.* replace (case when x.size = 1 then f.f else sha256(x.l || f.f || x.r) end as f,
+            case when x.size = 1 then f.proof else f.proof || x.l || x.r end as proof) from {at.format(k=k)} f join {side} x on {on})""")
+    return ",\n".join(parts) + f"""
+        select f.doc_id, f.leaf, f.subroot, m.d as root, sha256(f.proof) as proof_sha256, f.f as folded_root, f.f = m.d as verified from f{2 * _LEVELS} f cross join m{_LEVELS} m"""
+
+
+SQL["op12_merkle_manifest"] = _manifest_sql()
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's runs, after a tenth of the texts have had a stretch repeated."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0))
+    planted = docs.withColumn("plant", F.when(h % 10 == 0, F.floor(h / 10)))
+    return runs.periodic_runs(planted, plant="plant", collapsed=False).drop("runs", "collapsed")

@@ -8,12 +8,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rosterlens.llm import bpe, langid, lm, packing, quality, secrets, simhash, token_files, topk, toxicity
+from rosterlens.llm import bpe, langid, lm, merkle, packing, quality, runs, secrets, simhash, token_counts, token_files, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, piece string, score string, ids string"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -259,3 +260,119 @@ def test_top_k(spark):
         best = [i for i in np.lexsort((np.arange(1200), -scores)) if i != q][:5]
         assert [got[q][k + 1] for k in range(5)] == [(i, scores[i]) for i in best]
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_token_counts(docs, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    rows = token_counts.count_tokens(docs, path, limit=100).collect()
+    odd = ["foo<|endoftext|>bar <|startoftext|><|endoftext|> <|endof", "it's we'll THEY'RE 'S x", "é ́x ΑΣ ΑΣΑ z q İI ß ﬁ ǅ", "123 4a5 ...!!!??? \x7f\x00",
+           "y" * 70 + " " + "z!" * 60, "<|ENDOFTEXT|>", "à́ḅ̇"]
+    want = collections.Counter(len(own.encode(t or "", add_special_tokens=False).ids) for t in [*TEXTS, TEXTS[0]])
+    assert collections.Counter(r.n_tokens for r in rows) == want and {r.piece for r in rows} == {"p"}
+    assert all(r.over_limit == (r.n_tokens > 100) for r in rows) and sum(r.n_bytes for r in rows) == sum(len((t or "").encode()) for t in [*TEXTS, TEXTS[0]])
+    counter = token_counts.MergeCounter(path)
+    assert counter.counts(pa.array(odd)).tolist() == [len(own.encode(t, add_special_tokens=False).ids) for t in odd]
+    assert token_counts.count_tokens(empty, path).count() == 0
+
+
+def merkle_root(nodes):
+    """Root and each node's siblings (left, right) level by level, by the definition."""
+    proofs, at = [[] for _ in nodes], list(range(len(nodes)))
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    while len(nodes) > 1:
+        for leaf, i in enumerate(at):
+            run = nodes[i - i % 3:i - i % 3 + 3]
+            proofs[leaf].append(("".join(run[:i % 3]), "".join(run[i % 3 + 1:])))
+        nodes, at = [h("".join(nodes[i:i + 3])) for i in range(0, len(nodes), 3)], [i // 3 for i in at]
+    return nodes[0], proofs
+
+
+def merkle_rows(rows, tampered):
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of each row, by the definition."""
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    leaf = lambda r: h("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in r))
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[r[1]].append((r[0] is not None, r[0] or 0, leaf(r), r))
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    for g in names:
+        groups[g].sort(key=lambda x: x[:3])
+    trees = {g: merkle_root([x[2] for x in groups[g]]) for g in names}
+    root, above = merkle_root([trees[g][0] for g in names])
+    out = []
+    for g, upper in zip(names, above, strict=True):
+        for (_, _, own, r), proof in zip(groups[g], trees[g][1], strict=True):
+            node = leaf(tampered(r)) if tampered(r) else own
+            for a, b in proof + upper:
+                node = h(a + node + b)
+            out.append((r[0], own, trees[g][0], root, h("".join(a + b for a, b in proof + upper)), node, node == root))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("kind", ["plain", "repeats"])
+def test_manifest(spark, kind):
+    rng = np.random.default_rng(7)
+    rows = [(int(i) * 37 - 4000, ["a", "é", "z", "", None][int(k)], None if i % 5 == 0 else "en", int(i), None if i % 11 == 0 else f"é{i}\n{'x' * int(i % 7)}") for i, k in enumerate(rng.choice(5, 700, p=[.6, .2, .1, .05, .05]))]
+    rows += [(2**62, "far", "", None, ""), (-2**62, "far", "", 0, "\n"), (5 * 2**40, "far", None, 1, None)]
+    if kind == "repeats":
+        rows += [rows[0]] * 5 + [(rows[0][0], *rows[0][1:4], f"other{i}") for i in range(40)] + [(None, "a", None, None, "t\n")] * 3 + [(None, "a", None, 4, None), (None, None, None, None, None)]
+    made = spark.createDataFrame([(*r, "q", "g") for r in rows], "doc_id long, source string, lang string, n_chars long, text string, g string, slots string").repartition(7)
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2, F.lit(0)) == 0
+    found = merkle.manifest(made, claimed=(even, {"text": F.replace("text", F.lit("\n"), F.lit(""))}))
+    got = sorted((tuple(r[:1]) + tuple(r[2:8]) for r in found.collect()), key=repr)
+    lost = lambda r: None if r[4] is None or (r[0] is not None and zlib.crc32(str(r[0]).encode()) % 2) else (*r[:4], r[4].replace("\n", ""))
+    assert got == merkle_rows(rows, lost)
+    assert {len(s.left) % 64 for r in found.collect() for s in r.proof} == {0}
+    assert merkle.manifest(made.limit(0)).count() == 0 and merkle.manifest(made.where("doc_id = -4000").limit(1)).first().proof == []
+
+
+def runs_by_force(w, shortest=12):
+    found = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(shortest, 2 * q):
+                found.setdefault((i, j + q), q)
+            i = max(i + 1, j)
+    return sorted((s, e - s, q) for (s, e), q in found.items())
+
+
+def test_runs_against_brute_force(spark, docs, empty):
+    rng = np.random.default_rng(11)
+    texts = list(TEXTS)
+    for _ in range(300):
+        words, size = [], rng.integers(0, 70)
+        while len(words) < size:
+            words += rng.integers(0, rng.choice([1, 2, 4]), rng.integers(1, 10)).astype(str).tolist() * int(rng.integers(1, 6))
+        texts.append(" ".join(words))
+    fib = ["a", "a b"]
+    while len(fib[-1]) < 1500:
+        fib.append(f"{fib[-1]} {fib[-2]}")
+    texts += [fib[-1], "line one two three four five\n" * 50, "\n".join(f"head{i} same seven words are here in line" for i in range(90))]
+    made = spark.createDataFrame([(i, t, int(zlib.crc32(str(i).encode()) // 10) if i % 3 == 0 else None, "s", "r") for i, t in enumerate(texts)],
+                                 "doc_id long, text string, plant long, start string, left string")
+    for r in runs.periodic_runs(made, plant="plant").collect():
+        w = WORDS.findall(texts[r.doc_id] or "")
+        if r.doc_id % 3 == 0 and w:
+            g = zlib.crc32(str(r.doc_id).encode()) // 10
+            a = g % len(w)
+            p = 1 + (len(w) - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(len(w))]
+        want = runs_by_force(w)
+        assert [tuple(x) for x in r.runs] == want and r.n_runs == len(want) and r.left == "r"
+        best = min(want, key=lambda x: (-x[1], x[0], x[2]), default=None)
+        assert (r.start, r.length, r.period, r.exponent_milli) == ((*best, 1000 * best[1] // best[2]) if best else (None,) * 4)
+        dropped = {i for s, n, q in want for i in range(s + q, s + n)}
+        text = " ".join(x for i, x in enumerate(w) if i not in dropped)
+        assert r.collapsed == text and r.collapsed_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert r.runs_sha256 == hashlib.sha256("".join(f"{s},{n},{q}\n" for s, n, q in want).encode()).hexdigest()
+    assert runs.periodic_runs(empty).count() == 0 and runs.periodic_runs(docs).count() == len(TEXTS) + 1
+
+
+def test_runs_of_long_texts_stay_cheap():
+    for words in (np.zeros(60_000, np.int64), np.tile(np.arange(11), 6000), np.concatenate([np.r_[100 + i, np.arange(10)] for i in range(6000)])):
+        assert len(runs.runs_of(words, np.array([0, len(words)]))) == (words[0] < 100)
