@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["exposure", "checks", "sequences", "scoring", "search", "models", "links", "plans", "jobs"]
+MODULES = ["exposure", "checks", "sequences", "scoring", "search", "models", "refits", "links", "plans", "jobs"]
 
 
 def load() -> None:

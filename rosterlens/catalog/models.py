@@ -251,18 +251,6 @@ def _(v):
     return rounded(rs.bootstrap_dispersion(stats(v), multiplicity(v), "league", "team", "grp", "s_v"), 8)
 
 
-@query("M24_bootstrap_shrinkage")
-def _(v):
-    rows = estimation(v).drop("phi", "psi")
-    mult = multiplicity(v)
-    phi = rs.bootstrap_dispersion(stats(v), mult, "league", "team", "grp", "s_v")
-    drawn = mult.join(rows, ["league", "team"]).join(phi, ["replicate", "grp"])
-    drawn = drawn.withColumn("psi", md.sampling_variance(F.col("phi"), F.col("minutes")))
-    x = md.league_inputs("league", LEAGUES)
-    fits = md.shrinkage_fits(drawn, ["replicate", "grp"], x, F.col("y"), F.col("psi"), F.col("times").cast("double"))
-    return rounded(fits.select("replicate", "grp", "m", "tau2"), 8)
-
-
 @query("M25_bootstrap_fixed_score", f"""
     with {DRAWS}, s as (select league, team, sum(value / minutes * 90 / 1e5) as s, count(*) as n from v_player_window where win = 1 group by all)
     select cast(replicate as int) as replicate, round(sum(times * s) / sum(times * n), 6) as value
