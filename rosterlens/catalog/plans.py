@@ -10,14 +10,16 @@ from .registry import query, rounded
 
 GROUPS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 SHAPE = {"ECONOMY": 3, "LARGE": 2, "MEDIUM": 2, "PROMO": 1, "SMALL": 1, "STANDARD": 1}
-BUDGETS = [950.0, 1850.0, 1950.0]
+BUDGETS = [950.0, 1900.0, 2900.0]
+#: A pair of club and player is own from its first line on if that is before this day, else a candidate.
+OWN_BEFORE = "1995-03-01"
 
-CLUBS = """
+CLUBS = f"""
     pt as (select p_partkey as id, p_type as grp, p_retailprice as price, round(p_size + p_retailprice / 1000, 4) as value,
                   (1 + p_partkey % 5) / 10.0::double as sd from part),
-    own as (select distinct l_suppkey as club, pt.* from lineitem join pt on id = l_partkey where l_linenumber = 1 and l_quantity > 40),
-    cand as (select distinct l_suppkey as club, pt.*, cast(id % 5 - 1 as double) as score from lineitem join pt on id = l_partkey
-             where l_linenumber = 2 and not exists (select 1 from own where own.club = l_suppkey and own.id = l_partkey)),
+    pairs as (select l_suppkey as club, l_partkey as id, min(l_shipdate) < date '{OWN_BEFORE}' as mine from lineitem group by 1, 2),
+    own as (select club, pt.* from pairs join pt using (id) where mine),
+    cand as (select club, pt.*, cast(id % 5 - 1 as double) as score from pairs join pt using (id) where not mine),
     clubs as (select distinct club from own),
     shape as (select club, grp, places from clubs, (values ('ECONOMY', 3), ('LARGE', 2), ('MEDIUM', 2), ('PROMO', 1), ('SMALL', 1), ('STANDARD', 1)) g(grp, places))"""
 
@@ -30,10 +32,12 @@ def parts(v):
 
 
 def club_tables(v):
-    l = v.table("lineitem").withColumnsRenamed({"l_suppkey": "club", "l_partkey": "id"})
-    own = l.filter("l_linenumber = 1 and l_quantity > 40").select("club", "id").distinct().join(parts(v), "id")
-    seen = l.filter("l_linenumber = 2").select("club", "id").distinct().join(own.select("club", "id"), ["club", "id"], "left_anti")
-    cand = seen.join(parts(v), "id").withColumn("score", (F.col("id") % 5 - 1).cast("double"))
+    """Own players, candidates and shapes from all lines."""
+    l = v.table("lineitem").groupBy(F.col("l_suppkey").alias("club"), F.col("l_partkey").alias("id")).agg(
+        (F.min("l_shipdate") < F.lit(OWN_BEFORE).cast("date")).alias("mine"))
+    rows = l.join(parts(v), "id")
+    own = rows.filter("mine").drop("mine")
+    cand = rows.filter("not mine").drop("mine").withColumn("score", (F.col("id") % 5 - 1).cast("double"))
     cells = F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(n).alias("places")) for g, n in SHAPE.items()])
     shape = own.select("club").distinct().select("club", F.inline(cells))
     return own, cand, shape
@@ -47,53 +51,65 @@ def plans(v, caps):
 PLAN_SQL = f"""
     with {CLUBS},
     rk as (select club, grp, value, sd, row_number() over (partition by club, grp order by value desc, id) as n from own),
-    base as (select s.club, s.grp, s.places, a, count(n) filter (where n <= places - a) as have, coalesce(sum(value) filter (where n <= places - a), 0) as total,
-                    coalesce(sum(sd * sd) filter (where n > places - a and n <= places), 0) as var
-             from shape s left join rk using (club, grp), range(0, 3) r(a) where a <= places group by 1, 2, 3, 4),
-    ok as (select club, grp, a, total, var, have = places - a as enough from base),
-    f as (select *, unnest([false, true]) as fit from cand), fc as (select * from f where not fit or score > 0),
-    zero as (select club, fit, sum(total) as total, 0.0::double as cost, 0 as a, 0.0::double as var
-             from ok, (values (false), (true)) t(fit) where a = 0 group by 1, 2 having bool_and(enough)),
-    b0 as (select club, grp, total, var, enough from ok where a = 0), b1 as (select club, grp, total, enough, var from ok where a = 1),
-    b2 as (select club, grp, total, enough, var from ok where a = 2),
-    tot as (select club, sum(case when enough then 0 else 1 end) as lacking, sum(total) as total from b0 group by 1),
-    one as (select c.club, c.fit, t.total - b0.total + b1.total + c.value as total, c.price as cost, 1 as a, b1.var + c.sd * c.sd as var
-            from fc c join tot t using (club) join b0 using (club, grp) join b1 using (club, grp)
-            where b1.enough and t.lacking = case when b0.enough then 0 else 1 end),
-    two as (select c.club, c.fit, case when c.grp = d.grp then t.total - x0.total + x2.total else t.total - x0.total - y0.total + x1.total + y1.total end
-                   + c.value + d.value as total, c.price + d.price as cost, 2 as a,
-                   case when c.grp = d.grp then x2.var else x1.var + y1.var end + c.sd * c.sd + d.sd * d.sd as var
-            from fc c join fc d on d.club = c.club and d.fit = c.fit and d.id > c.id and c.price + d.price <= 1950
-            join tot t on t.club = c.club join b0 x0 on x0.club = c.club and x0.grp = c.grp join b0 y0 on y0.club = d.club and y0.grp = d.grp
-            left join b1 x1 on x1.club = c.club and x1.grp = c.grp left join b1 y1 on y1.club = d.club and y1.grp = d.grp
-            left join b2 x2 on x2.club = c.club and x2.grp = c.grp
-            where case when c.grp = d.grp then coalesce(x2.enough, false) and t.lacking = case when x0.enough then 0 else 1 end
-                  else x1.enough and y1.enough and t.lacking = case when x0.enough then 0 else 1 end + case when y0.enough then 0 else 1 end end),
-    every as (select * from zero union all select * from one union all select * from two),
-    grid as (select unnest([950.0, 1850.0, 1950.0]) as budget), caps as (select unnest([1, 2]) as cap)"""
+    ok as (select s.club, s.grp, a, coalesce(sum(value) filter (where n <= places - a), 0) as total, coalesce(sum(sd * sd) filter (where n > places - a and n <= places), 0) as var,
+                  count(n) filter (where n <= places - a) = places - a as enough
+           from shape s left join rk using (club, grp), range(0, 4) r(a) where a <= places group by s.club, s.grp, a, places),
+    z as (select * from ok where a = 0),
+    tot as (select club, sum(case when enough then 0 else 1 end) as lacking, sum(total) as total from z group by 1),
+    f as (select *, unnest([false, true]) as fit from cand), fc as (select * from f where (not fit or score > 0) and price <= 2900),
+    dominated as (select c.club, c.fit, c.id from fc c join fc d on d.club = c.club and d.fit = c.fit and d.grp = c.grp and d.price <= c.price and d.value >= c.value
+                  and (d.price < c.price or d.value > c.value or d.id < c.id) group by 1, 2, 3 having count(*) >= 3),
+    sk as (select c.club, c.fit, c.grp, c.id, c.price, c.value, c.sd * c.sd as s2, case when z.enough then 0 else 1 end as l,
+                  o1.total - z.total as d1, o2.total - z.total as d2, o3.total - z.total as d3, o1.var as v1, o2.var as v2, o3.var as v3
+           from fc c anti join dominated x on x.club = c.club and x.fit = c.fit and x.id = c.id
+           join z on z.club = c.club and z.grp = c.grp
+           left join ok o1 on o1.club = c.club and o1.grp = c.grp and o1.a = 1 and o1.enough
+           left join ok o2 on o2.club = c.club and o2.grp = c.grp and o2.a = 2 and o2.enough
+           left join ok o3 on o3.club = c.club and o3.grp = c.grp and o3.a = 3 and o3.enough),
+    sets as (
+        select club, fit, 1 as a, price as cost, value as v, s2, d1 as d, v1 as lost, l, [id] as ids from sk
+        union all
+        select c.club, c.fit, 2, c.price + d.price, c.value + d.value, c.s2 + d.s2, case when c.grp = d.grp then c.d2 else c.d1 + d.d1 end,
+               case when c.grp = d.grp then c.v2 else c.v1 + d.v1 end, case when c.grp = d.grp then c.l else c.l + d.l end, list_sort([c.id, d.id])
+        from sk c join sk d on d.club = c.club and d.fit = c.fit and (d.grp > c.grp or d.grp = c.grp and d.id > c.id) and c.price + d.price <= 2900
+        union all
+        select c.club, c.fit, 3, c.price + d.price + e.price, c.value + d.value + e.value, c.s2 + d.s2 + e.s2,
+               case when c.grp = e.grp then c.d3 when c.grp = d.grp then c.d2 + e.d1 when d.grp = e.grp then c.d1 + d.d2 else c.d1 + d.d1 + e.d1 end,
+               case when c.grp = e.grp then c.v3 when c.grp = d.grp then c.v2 + e.v1 when d.grp = e.grp then c.v1 + d.v2 else c.v1 + d.v1 + e.v1 end,
+               case when c.grp = e.grp then c.l when c.grp = d.grp then c.l + e.l when d.grp = e.grp then c.l + d.l else c.l + d.l + e.l end, list_sort([c.id, d.id, e.id])
+        from sk c join sk d on d.club = c.club and d.fit = c.fit and (d.grp > c.grp or d.grp = c.grp and d.id > c.id) and c.price + d.price <= 2900
+        join sk e on e.club = d.club and e.fit = d.fit and (e.grp > d.grp or e.grp = d.grp and e.id > d.id) and c.price + d.price + e.price <= 2900),
+    every as (
+        select club, fit, 0 as a, 0.0::double as cost, round(total, 9) as total, 0.0::double as var, []::bigint[] as ids from tot, (values (false), (true)) t(fit) where lacking = 0
+        union all
+        select s.club, s.fit, s.a, round(s.cost, 6), round(t.total + s.d + s.v, 9), s.lost + s.s2, s.ids from sets s join tot t on t.club = s.club and t.lacking = s.l where s.d is not null),
+    grid as (select unnest([950.0, 1900.0, 2900.0]) as budget), caps as (select unnest([1, 2, 3]) as cap),
+    most as (select club, fit, budget, cap, max(total) as total from every, grid, caps where cost <= budget and a <= cap group by all),
+    best as (select m.club, m.fit, m.budget, m.cap, m.total, min({{'cost': e.cost, 'a': e.a, 'ids': e.ids, 'var': e.var}}) as p
+             from most m join every e on e.club = m.club and e.fit = m.fit and e.total = m.total and e.cost <= m.budget and e.a <= m.cap group by all)"""
 
 
 @query("M35_upgrade_plans", PLAN_SQL + """
-    select club, fit, cast(budget as double) as budget, cap, round(max(total), 4) as total
-    from every, grid, caps where cost <= budget and a <= cap group by all""")
+    select club, fit, cast(budget as double) as budget, cap, round(total, 4) as total from best where cap <= 2""")
 def _(v):
     return rounded(plans(v, [1, 2]).select("club", "fit", "budget", "cap", "total"), 4)
 
 
-@query("M35_upgrade_plans_three_additions")
+@query("M35_upgrade_plans_three_additions", PLAN_SQL + """
+    select club, fit, cast(budget as double) as budget, cap, round(total, 4) as total, round(p.cost, 4) as cost, array_to_string(p.ids, ',') as signed from best""")
 def _(v):
-    return rounded(plans(v, [1, 2, 3]).select("club", "fit", "budget", "cap", "total", "cost"), 4)
+    out = plans(v, [1, 2, 3]).withColumn("signed", F.array_join(F.col("in_ids").cast("array<string>"), ","))
+    return rounded(out.select("club", "fit", "budget", "cap", "total", "cost", "signed"), 4)
 
 
 @query("X10_gain_and_interval", PLAN_SQL + """
-    , best as (select club, budget, max(total) as total from every, grid where not fit and cost <= budget and a <= 1 group by 1, 2)
-    select b.club, cast(b.budget as double) as budget, round(b.total - z.total, 4) as gain
-    from best b join zero z on z.club = b.club and not z.fit""")
+    select b.club, b.fit, cast(b.budget as double) as budget, b.cap, round(b.total - t.total, 4) as gain, round(b.total - t.total - 1.645 * sqrt(p.var), 4) as low,
+           round(b.total - t.total + 1.645 * sqrt(p.var), 4) as high
+    from best b join tot t on t.club = b.club and t.lacking = 0""")
 def _(v):
     own, cand, shape = club_tables(v)
-    p = plans(v, [1]).filter("not fit")
-    out = up.with_gain(p, up.baselines(own, shape)).filter("base is not null")
-    return rounded(out.select("club", "budget", "gain"), 4)
+    out = up.with_gain(plans(v, [1, 2, 3]), up.baselines(own, shape)).filter("base is not null")
+    return rounded(out.select("club", "fit", "budget", "cap", "gain", "low", "high"), 4)
 
 
 @query("X11_infeasibility_reason", f"""
@@ -103,17 +119,19 @@ def _(v):
     p as (select club, sum(need)::bigint as needed, bool_or(have < need) as few, sum(cost) as cheapest from f group by 1)
     select club, cast(budget as double) as budget, cap, needed, case when needed > cap then 'more places than signings' when few then 'too few candidates'
            when cheapest > budget then 'budget too small' end as reason
-    from p, (select unnest([950.0, 1850.0, 1950.0]) as budget), (select unnest([1, 2, 3]) as cap)""")
+    from p, (select unnest([950.0, 1900.0, 2900.0]) as budget), (select unnest([1, 2, 3]) as cap)""")
 def _(v):
     own, cand, shape = club_tables(v)
     return up.infeasible(own, cand, shape, BUDGETS, [1, 2, 3])
 
 
-@query("C29_broken_plans", "select 0::bigint as broken, count(distinct l_suppkey) as clubs from lineitem where l_linenumber = 1 and l_quantity > 40")
+@query("C29_broken_plans", PLAN_SQL + """
+    select 0::bigint as broken, (select count(*) from best) as plans, (select count(distinct club) from own) as clubs""")
 def _(v):
-    own, cand, _ = club_tables(v)
-    bad = up.broken_plans(plans(v, [1, 2]), own, cand)
-    return bad.agg(F.count(F.lit(1)).alias("broken")).join(own.agg(F.count_distinct("club").alias("clubs")))
+    own, cand, shape = club_tables(v)
+    every = plans(v, [1, 2, 3])
+    bad = up.broken_plans(every, own, cand, shape)
+    return bad.agg(F.count(F.lit(1)).alias("broken")).join(every.agg(F.count(F.lit(1)).alias("plans"))).join(own.agg(F.count_distinct("club").alias("clubs")))
 
 
 @query("U6_picks_in_and_out", """

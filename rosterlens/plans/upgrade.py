@@ -2,20 +2,23 @@
 
 A plan fills a shape (places per group) exactly with own players, who cost nothing, and at most k
 additions. Own players of a group are best taken from the top, so a group's part of a plan is
-settled by how many additions it takes. The best plans are found by joining the groups' parts one
-group at a time, keeping after each join only parts that no cheaper part with as many additions
-beats. This is exact: a dropped part can be swapped for the one that beats it.
+settled by how many additions it takes. Choices of additions are kept as fronts by count: a choice
+that a cheaper one of as many beats is dropped. Fronts of disjoint candidates, and then of the groups,
+are merged count by count. This is exact: a dropped part can be swapped for the one that beats it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.resample import hashed
-from ..scale import Ordered, lookup
+from ..scale import Ordered, lookup, numbered
 from ..session import checkpointed
 
 # Budgets, caps on additions, z of the 90% interval, reasons in the order tried.
@@ -68,42 +71,130 @@ def own_parts(own: DataFrame, shape: DataFrame, club: str, group: str, k: int) -
                        F.transform(out, lambda t: t["id"]).alias("out_ids"))
 
 
-def _pareto(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Parts not beaten by one of the same keys that costs no more; keys must be unique enough
-    that a group is one club's parts."""
-    w = (Window.partitionBy(*keys).orderBy("cost", F.desc("total"), F.array_join(F.col("in_ids").cast("array<string>"), ","))
-         .rowsBetween(Window.unboundedPreceding, -1))
-    best = F.max("total").over(w)
-    return parts.withColumn("_best", best).filter(
-        F.col("_best").isNull() | (F.col("total") > F.col("_best"))).drop("_best")
+class _Fronts:
+    """Choices of up to k additions that no cheaper choice of as many beats: per count, rows in order of cost.
 
+    A choice is a cost, a total, a variance, the ids added (ascending) and, per part it is made of, that part's row.
+    Of equal choices the one of smaller ids stands, which the union with further ids does not change.
+    """
 
-def group_parts(own: DataFrame, candidates: DataFrame, shape: DataFrame, club: str, group: str, k: int,
-                most: float) -> DataFrame:
-    """Per club, condition and group: each worthwhile choice of up to k additions."""
-    base = own_parts(own, shape, club, group, k)
-    sky = skyline(candidates.filter(F.col("price") <= most), [club, "fit", group], k).select(
-        club, "fit", group, F.col("id").alias("_id"), F.col("price").alias("_p"), F.col("value").alias("_v"),
-        (F.col("sd") * F.col("sd")).alias("_s"))
-    picks = sky.select(club, "fit", group, F.lit(1).alias("a"), F.col("_p").alias("cost"), F.col("_v").alias("total"),
-                       F.col("_s").alias("var"), F.array("_id").alias("in_ids"))
-    sets, last = picks, picks
-    for size in range(2, k + 1):
-        grown = last.join(sky, [club, "fit", group]).filter(
-            (F.col("_id") > F.element_at("in_ids", -1)) & (F.col("cost") + F.col("_p") <= most))
-        last = grown.select(club, "fit", group, F.lit(size).alias("a"), (F.col("cost") + F.col("_p")).alias("cost"),
-                            (F.col("total") + F.col("_v")).alias("total"), (F.col("var") + F.col("_s")).alias("var"),
-                            F.concat("in_ids", F.array("_id")).alias("in_ids"))
-        sets = sets.unionByName(last)
-    sets = _pareto(sets, [club, "fit", group, "a"])
-    conditions = F.explode(F.array(F.lit(False), F.lit(True))).alias("fit")
-    none = base.filter("a = 0").select(
-        club, conditions, group, "a", F.lit(0.0).alias("cost"), F.col("_value").alias("total"), F.lit(0.0).alias("var"),
-        F.array().cast(dict(sets.dtypes)["in_ids"]).alias("in_ids"), "out_ids")
-    some = sets.join(base, [club, group, "a"]).select(
-        club, "fit", group, "a", F.col("cost").cast("double").alias("cost"), (F.col("total") + F.col("_value")).alias("total"),
-        (F.col("var") + F.col("_var")).alias("var"), "in_ids", "out_ids")
-    return none.unionByName(some)
+    #: Sums looked at together; a larger product is cut into price ranges of one side.
+    AT_ONCE = 1 << 20
+
+    def __init__(self, k: int, most: float):
+        self.k, self.most = k, most
+
+    def cut(self, cost, total, var, ids, rows):
+        """The rows worth keeping, in order of cost."""
+        cost, total = np.round(cost, 6), np.round(total, 9)  # equal choices stay equal in whatever order they were summed
+        order = np.lexsort((*ids.T[::-1], -total, cost))
+        order = order[cost[order] <= self.most]
+        best = np.maximum.accumulate(total[order]) if len(order) else total[order]
+        keep = order[np.concatenate([[True], total[order][1:] > best[:-1]])] if len(order) else order
+        return cost[keep], total[keep], var[keep], ids[keep], rows[keep]
+
+    def met(self, one, two):
+        """Choices from one side and the other together."""
+        n, m = len(one[0]), len(two[0])
+        step = max(1, self.AT_ONCE // max(m, 1))
+        parts = []
+        for a in range(0, n, step):
+            c, t, v, ids, rows = (x[a:a + step] for x in one)
+            i, j = np.repeat(np.arange(len(c)), m), np.tile(np.arange(m), len(c))
+            inside = c[i] + two[0][j] <= self.most + 1e-6
+            i, j = i[inside], j[inside]
+            both = np.sort(np.concatenate([ids[i], two[3][j]], axis=1), axis=1)
+            parts.append(self.cut(c[i] + two[0][j], t[i] + two[1][j], v[i] + two[2][j], both, np.concatenate([rows[i], two[4][j]], axis=1)))
+        return self.joined(parts)
+
+    def joined(self, parts):
+        return parts[0] if len(parts) == 1 else self.cut(*(np.concatenate([p[x] for p in parts]) for x in range(5)))
+
+    def merged(self, one: dict, two: dict) -> dict:
+        """Choices by count from two disjoint sets of candidates."""
+        out: dict = {}
+        for a, x in one.items():
+            for b, y in two.items():
+                if a + b <= self.k and len(x[0]) and len(y[0]):
+                    out.setdefault(a + b, []).append(self.met(x, y))
+        return {a: self.joined(parts) for a, parts in out.items()}
+
+    def single(self, cost, total, var, ids) -> dict:
+        """Choices of up to k among candidates, by halves."""
+        if len(cost) <= 1:
+            nothing = np.zeros(1), np.zeros(1), np.zeros(1), np.zeros((1, 0), np.int64), np.zeros((1, 0), np.int64)
+            one = self.cut(cost, total, var, ids[:, None], np.zeros((len(cost), 0), np.int64))
+            return {0: nothing} | ({1: one} if len(one[0]) else {})
+        h = len(cost) // 2
+        return self.merged(self.single(cost[:h], total[:h], var[:h], ids[:h]), self.single(cost[h:], total[h:], var[h:], ids[h:]))
+
+
+_FRONT = [("a", pa.int32()), ("cost", pa.float64()), ("total", pa.float64()), ("var", pa.float64()), ("in_ids", pa.list_(pa.int64()))]
+_FRONT_SQL = "a int, cost double, total double, var double, in_ids array<bigint>"
+#: Candidates whose choices are worked out in one task.
+BLOCK = 256
+
+
+def _tabled(fronts: dict) -> dict[str, list]:
+    out: dict[str, list] = {name: [] for name, _ in _FRONT}
+    for a, (cost, total, var, ids, _) in sorted(fronts.items()):
+        if a:
+            out["a"] += [a] * len(cost)
+            for name, column in (("cost", cost), ("total", total), ("var", var), ("in_ids", ids)):
+                out[name] += column.tolist()
+    return out
+
+
+def _fronts_of(table: pa.Table) -> dict:
+    """Choices by count from rows, each with its row's place."""
+    a = table.column("a").to_numpy()
+    cost, total, var = (table.column(c).to_numpy() for c in ("cost", "total", "var"))
+    ids = table.column("in_ids").to_pylist()
+    out = {}
+    for count in np.unique(a).tolist():
+        at = np.flatnonzero(a == count)
+        out[count] = cost[at], total[at], var[at], np.array([ids[i] for i in at], np.int64).reshape(len(at), count), at[:, None]
+    return out
+
+
+def choices(sky: DataFrame, keys: Sequence[str], k: int, most: float, block: int = BLOCK) -> DataFrame:
+    """Per key the choices of 1 to k candidates worth keeping: a, cost, total, var, in_ids.
+
+    Candidates in order of price are cut into blocks, a task each; blocks are disjoint, so their choices merge pairwise,
+    count by count, round by round.
+    """
+    ordered = numbered(sky, keys, ["price", "value", "id"], "_n")
+    rows = ordered.select(*keys, F.expr(f"(_n - 1) div {block}").cast("int").alias("_b"), F.col("id").cast("long").alias("id"),
+                          F.col("price").cast("double").alias("price"), F.col("value").cast("double").alias("value"), (F.col("sd") * F.col("sd")).cast("double").alias("var"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    key_types = [(c, to_arrow_type(sky.schema[c].dataType)) for c in keys]
+    schema = ", ".join(f"{c} {sky.schema[c].dataType.simpleString()}" for c in keys) + ", _b int, " + _FRONT_SQL
+    types = pa.schema([*key_types, ("_b", pa.int32()), *_FRONT])
+    width = len(keys)
+
+    def as_rows(key, b: int, fronts: dict) -> pa.Table:
+        held = _tabled(fronts)
+        n = len(held["a"])
+        columns = [*(pa.array([key[i].as_py()] * n, t) for i, (_, t) in enumerate(key_types)), pa.array([b] * n, pa.int32()), *(pa.array(held[c], t) for c, t in _FRONT)]
+        return pa.Table.from_arrays(columns, schema=types)
+
+    def leaf(key, table):
+        fronts = _Fronts(k, most).single(*(table.column(c).to_numpy() for c in ("price", "value", "var", "id")))
+        return as_rows(key, key[width].as_py(), fronts)
+
+    def pair(key, table):
+        half = pc.bit_wise_and(table.column("_b"), 1)
+        nothing = {0: (np.zeros(1), np.zeros(1), np.zeros(1), np.zeros((1, 0), np.int64), np.zeros((1, 1), np.int64))}
+        one, two = (nothing | _fronts_of(table.filter(pc.equal(half, x))) for x in (0, 1))
+        return as_rows(key, key[width].as_py(), _Fronts(k, most).merged(one, two))
+
+    fronts = checkpointed(rows.groupBy(*keys, "_b").applyInArrow(leaf, schema))
+    last = fronts.agg(F.max("_b")).first()[0] or 0
+    while last:
+        fronts = fronts.groupBy(*keys, F.expr("_b div 2").cast("int").alias("_h")).applyInArrow(pair, schema)
+        last //= 2
+    return fronts.drop("_b")
 
 
 def club_plans(own: DataFrame, candidates: DataFrame, shape: DataFrame, groups: Sequence[str],
@@ -112,33 +203,53 @@ def club_plans(own: DataFrame, candidates: DataFrame, shape: DataFrame, groups:
     """The best plan per club, fit condition, budget and cap on additions.
 
     ``candidates`` holds (club, id, group, price, value, sd, score); with the fit condition only
-    those with a score above zero count. Cost, total, ids in and out, variance of the change.
+    those with a score above zero count. Cost, total, ids in and out, variance of the change. Of plans
+    with the greatest total the cheapest stands, then the one of fewest additions, then of smallest ids.
+    A club's groups meet in one task, which sees only the groups' choices worth keeping.
     """
     k, most = max(caps), max(budgets)
-    # the groups' parts are read once per group: stored, so that they are derived once
+    groups = list(groups)
     both = candidates.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("fit"))
-    both = both.filter(~F.col("fit") | (F.col("score") > 0)).drop("score")
-    parts = checkpointed(group_parts(own, both, shape, club, group, k, most))
-    plan = None
-    for g in groups:
-        step = parts.filter(F.col(group) == g).drop(group)
-        if plan is None:
-            plan = step
-            continue
-        right = step.select(club, "fit", *[F.col(c).alias(f"_{c}") for c in ("a", "cost", "total", "var", "in_ids", "out_ids")])
-        met = plan.join(right, [club, "fit"]).filter(
-            (F.col("a") + F.col("_a") <= k) & (F.col("cost") + F.col("_cost") <= most))
-        plan = _pareto(met.select(
-            club, "fit", (F.col("a") + F.col("_a")).alias("a"), (F.col("cost") + F.col("_cost")).alias("cost"),
-            (F.col("total") + F.col("_total")).alias("total"), (F.col("var") + F.col("_var")).alias("var"),
-            F.concat("in_ids", "_in_ids").alias("in_ids"), F.concat("out_ids", "_out_ids").alias("out_ids")),
-            [club, "fit", "a"])
-    grid = F.array(*[F.struct(F.lit(float(b)).alias("budget"), F.lit(c).alias("cap")) for b in budgets for c in caps])
-    tried = plan.select("*", F.inline(grid)).filter((F.col("cost") <= F.col("budget")) & (F.col("a") <= F.col("cap")))
-    best = F.struct("total", (-F.col("cost")).alias("_c"), "in_ids", "out_ids", "var")
-    out = tried.groupBy(club, "fit", "budget", "cap").agg(F.max(best).alias("_b"))
-    return out.select(club, "fit", "budget", "cap", "_b.total", (-F.col("_b._c")).alias("cost"), "_b.in_ids",
-                      "_b.out_ids", "_b.var")
+    both = both.filter((~F.col("fit") | (F.col("score") > 0)) & (F.col("price") <= most)).drop("score")
+    base = own_parts(own, shape, club, group, k)
+    sets = choices(skyline(both, [club, "fit", group], k), [club, "fit", group], k, most)
+    none = base.filter("a = 0").select(club, F.explode(F.array(F.lit(False), F.lit(True))).alias("fit"), group, "a", F.lit(0.0).alias("cost"), F.col("_value").alias("total"),
+                                       F.lit(0.0).alias("var"), F.array().cast("array<bigint>").alias("in_ids"), "out_ids")
+    some = sets.join(base, [club, group, "a"]).select(club, "fit", group, "a", "cost", (F.col("total") + F.col("_value")).alias("total"), (F.col("var") + F.col("_var")).alias("var"),
+                                                      "in_ids", "out_ids")
+    asked = shape.groupBy(club).agg(F.count(F.lit(1)).alias("_groups"))
+    parts = none.unionByName(some).join(asked, club)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = base.schema["out_ids"].dataType
+    fields = [(club, to_arrow_type(own.schema[club].dataType)), ("fit", pa.bool_()), ("budget", pa.float64()), ("cap", pa.int32()), ("total", pa.float64()), ("cost", pa.float64()),
+              ("in_ids", pa.list_(pa.int64())), ("out_ids", to_arrow_type(id_type)), ("var", pa.float64())]
+    schema = (f"{club} {own.schema[club].dataType.simpleString()}, fit boolean, budget double, cap int, total double, cost double, in_ids array<bigint>, "
+              f"out_ids {id_type.simpleString()}, var double")
+
+    def best(key, table):
+        fronts, plan, used = _Fronts(k, most), None, []
+        names = table.column(group).to_pylist()
+        present = [g for g in groups if g in set(names)]
+        if len(present) == table.column("_groups")[0].as_py():
+            for g in present:
+                at = np.array([i for i, n in enumerate(names) if n == g])
+                step = {a: (c, t, v, ids, at[rows]) for a, (c, t, v, ids, rows) in _fronts_of(table.take(at)).items()}
+                plan = step if plan is None else fronts.merged(plan, step)
+        out_ids = table.column("out_ids").to_pylist()
+        for b in budgets if plan else ():
+            for cap in caps:
+                top = None
+                for a in sorted(plan):
+                    cost, total, var, ids, rows = plan[a]
+                    i = int(np.searchsorted(cost, b + 1e-9, "right")) - 1
+                    if a <= cap and i >= 0 and (top is None or (total[i], -cost[i]) > top[:2]):
+                        top = total[i], -cost[i], ids[i].tolist(), [x for r in rows[i].tolist() for x in out_ids[r]], var[i]
+                if top is not None:
+                    used.append((key[0].as_py(), key[1].as_py(), float(b), cap, top[0], -top[1], top[2], top[3], top[4]))
+        return pa.Table.from_arrays([pa.array([u[i] for u in used], t) for i, (_, t) in enumerate(fields)], schema=pa.schema(fields))
+
+    return parts.groupBy(club, "fit").applyInArrow(best, schema)
 
 
 def baselines(own: DataFrame, shape: DataFrame, club: str = "club", group: str = "grp") -> DataFrame:
@@ -174,18 +285,28 @@ def infeasible(own: DataFrame, candidates: DataFrame, shape: DataFrame, budgets:
     return per.select("*", F.inline(grid)).select(club, "budget", "cap", "needed", reason.alias("reason"))
 
 
-def broken_plans(plans: DataFrame, own: DataFrame, candidates: DataFrame, club: str = "club") -> DataFrame:
+def broken_plans(plans: DataFrame, own: DataFrame, candidates: DataFrame, shape: DataFrame, club: str = "club", group: str = "grp") -> DataFrame:
     """Plans that break a rule: too dear, too many additions, an addition that is no candidate or
-    does not fit, or an own player bought."""
-    bought = plans.select(club, "fit", "budget", "cap", "cost", F.explode("in_ids").alias("id"))
-    known = candidates.select(club, "id", F.col("price").alias("_p"), F.col("score").alias("_s"))
-    j = bought.join(known, [club, "id"], "left").join(
-        own.select(club, "id", F.lit(True).alias("_own")), [club, "id"], "left")
-    bad = F.col("_p").isNull() | (F.col("fit") & ~(F.col("_s") > 0)) | F.col("_own").isNotNull()
-    per = j.groupBy(club, "fit", "budget", "cap").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("_p").alias("_sum"), F.max(bad.cast("int")).alias("_bad"), F.first("cost").alias("cost"))
-    return per.filter((F.col("_n") > F.col("cap")) | (F.col("_sum") > F.col("budget") + 1e-6) | (F.col("_bad") == 1)
-                      | (F.abs(F.col("_sum") - F.col("cost")) > 1e-6))
+    does not fit, an own player bought, one left out who is not own, or a group not filled exactly."""
+    key = [club, "fit", "budget", "cap"]
+    bought = plans.select(*key, "cost", F.explode_outer("in_ids").alias("id"))
+    known = candidates.select(club, "id", F.col("price").alias("_p"), F.col("score").alias("_s"), F.col(group).alias("_g"))
+    j = bought.join(known, [club, "id"], "left").join(own.select(club, "id", F.lit(True).alias("_own")), [club, "id"], "left")
+    bad = F.col("id").isNotNull() & (F.col("_p").isNull() | (F.col("fit") & ~(F.col("_s") > 0)) | F.col("_own").isNotNull())
+    per = j.groupBy(*key).agg(F.count("id").alias("_n"), F.coalesce(F.sum("_p"), F.lit(0.0)).alias("_sum"), F.max(bad.cast("int")).alias("_bad"), F.first("cost").alias("cost"))
+    rules = per.filter((F.col("_n") > F.col("cap")) | (F.col("_sum") > F.col("budget") + 1e-6) | (F.col("_bad") == 1)
+                       | (F.abs(F.col("_sum") - F.col("cost")) > 1e-6)).select(*key)
+    # each group's players: the best own ones up to its places, less those left out, and the additions
+    best = Window.partitionBy(club, group).orderBy(F.desc("value"), "id")
+    top = _first(own.withColumn("_n", F.row_number().over(best)), shape, "places", club, group).groupBy(club, group).agg(F.count(F.lit(1)).alias("_top"))
+    left = plans.select(*key, F.explode("out_ids").alias("id")).join(own.select(club, "id", F.col(group).alias("_g")), [club, "id"], "left")
+    moves = j.filter("id is not null").select(*key, F.col("_g").alias(group), F.lit(1).alias("_d")).unionByName(left.select(*key, F.col("_g").alias(group), F.lit(-1).alias("_d")))
+    moves = moves.groupBy(*key, group).agg(F.sum("_d").alias("_d"))
+    asked = plans.select(*key).join(shape.join(top, [club, group], "left"), club)
+    filled = asked.join(moves, [*key, group], "left")
+    unfilled = filled.filter(F.coalesce("_top", F.lit(0)) + F.coalesce("_d", F.lit(0)) != F.col("places")).select(*key)
+    strange = moves.join(shape.select(club, group, "places"), [club, group], "left").filter("places is null").select(*key)
+    return rules.unionByName(unfilled).unionByName(strange).distinct()
 
 
 def random_squads(rows: DataFrame, quotas: dict[str, int], budget: Column, draws: int, seed: int = 0,
