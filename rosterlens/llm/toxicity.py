@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from .common import remainder, text_slices, words_of
 
 BUCKETS = 1 << 18
+#: Text taken apart at once, for bounded memory.
+SLICE_BYTES = 1_500_000
 PREFIXES = (4, 5, 6)
 _EDGE = ".,;:!?%*&$#|\"'()[]{}<>-_"
 
@@ -38,7 +40,7 @@ def term_rows(texts: pa.Array, known: np.ndarray | None = None) -> Iterator[tupl
     Terms are the words in lower case without marks at the ends, and their first four, five and six
     letters, by which compounds and inflected forms of a word meet.
     """
-    for part in text_slices(texts):
+    for part in text_slices(texts, SLICE_BYTES):
         words = words_of(part)
         terms = pc.utf8_trim(pc.utf8_lower(words.unique), _EDGE)
         columns = [_bucket(terms.cast(pa.binary()).to_pylist(), b"")]
