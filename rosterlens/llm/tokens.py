@@ -30,7 +30,7 @@ class TextEncoder:
 
     def __init__(self, encode_many, keeps_space: bool):
         self.encode_many, self.keeps_space = encode_many, keeps_space
-        self.memo = Memo(self._make)
+        self.memo = Memo(self._make, 96_000_000)
 
     def _make(self, words: list[str]) -> dict:
         # None marks words next to which a space isn't a safe place; the text is then cut anew
@@ -71,6 +71,71 @@ class TextEncoder:
                     yield (starts[i] if starts else b"") + bytes(view[froms[i]:tos[i]])
 
 
+#: Characters whose class and lower case no version of Unicode has changed: printable ASCII and Latin letters.
+_STEADY = re.compile(r"[!-~À-ÖØ-öø-įı-ſ]+")
+_LETTERS = "a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĳĵķĸĺļľŀłńņňŉŋōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżžſ"
+#: The splitting pattern of the word vocabulary over those characters in lower case.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+
+
+class _Joined:
+    """Ids of many short texts by few calls of the library: they are joined, and the ids cut where they met.
+
+    Byte-level: a text of one leading space starts with the only id that starts with a space. Word
+    vocabularies: texts are taken apart into pieces, whose last id alone ends a word; each new piece is encoded
+    once. Other texts are parted by a character that is one id of its own, or go alone.
+    """
+
+    def __init__(self, library, keeps_space: bool):
+        self.library, self.keeps_space = library, keeps_space
+        self.memo = Memo(lambda pieces: dict(zip(pieces, self._cut(pieces, " ", self._at_edges), strict=True)), 24_000_000)
+        vocab = library.get_vocab(with_added_tokens=False)
+        self.edge = np.zeros(max(vocab.values()) + 1, bool)
+        self.edge[[i for t, i in vocab.items() if (t.startswith("\u0120") if keeps_space else t.endswith("</w>"))]] = True
+        (self.mark_id,) = library.encode("\x01", add_special_tokens=False).ids
+
+    def _cut(self, items: list[str], join: str, places, step: int = 2000) -> Iterator[bytes]:
+        for a in range(0, len(items), step):
+            part = items[a:a + step]
+            ids = np.array(self.library.encode_batch_fast([join.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            froms, tos = places(ids)
+            if len(froms) != len(part):
+                raise ValueError("the joined texts did not stay apart")
+            data = ids.tobytes()
+            yield from (data[f:t] for f, t in zip(froms.tolist(), tos.tolist(), strict=True))
+
+    def _at_marks(self, ids: np.ndarray):
+        cuts = 4 * np.flatnonzero(ids == self.mark_id)
+        return np.concatenate([[0], cuts + 4]), np.concatenate([cuts, [4 * len(ids)]])
+
+    def _at_edges(self, ids: np.ndarray):
+        at = 4 * np.flatnonzero(self.edge[ids])
+        if self.keeps_space:
+            return at, np.concatenate([at[1:], [4 * len(ids)]])
+        return np.concatenate([[0], at[:-1] + 4]), at + 4
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        if self.keeps_space:
+            joined = [i for i, t in enumerate(texts) if len(t) < 64 and t[:1] == " " and " " not in t[1:] and t[1:2].strip() and t[-1:].strip()]
+            made = self._cut([texts[i] for i in joined], "", self._at_edges)
+        else:
+            cut = [(i, _PIECES.findall(t.lower())) for i, t in enumerate(texts) if len(t) < 64 and _STEADY.fullmatch(t)]
+            known = self.memo.holding({p for _, pieces in cut for p in pieces})
+            for i, pieces in cut:
+                out[i] = known[pieces[0]] if len(pieces) == 1 else b"".join(map(known.__getitem__, pieces))
+            done = {i for i, _ in cut}
+            joined = [i for i, t in enumerate(texts) if i not in done and len(t) < 64 and "\x01" not in t]
+            made = self._cut([texts[i] for i in joined], " \x01 ", self._at_marks)
+        for i, ids in zip(joined, made, strict=True):
+            out[i] = ids
+        done = set(joined) if self.keeps_space else done | set(joined)
+        alone = [i for i in range(len(texts)) if i not in done]
+        for i, e in zip(alone, self.library.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, dtype="<u4").tobytes()
+        return out
+
+
 def library_encoder(path: str, keeps_space: bool) -> TextEncoder:
     """The encoder of a tokenizer file; special tokens' strings in a text are ordinary text."""
 
@@ -82,29 +147,6 @@ def library_encoder(path: str, keeps_space: bool) -> TextEncoder:
 
         library = Tokenizer.from_file(path)
         library.encode_special_tokens = True
-
-        # a separator that is one id of its own between words, whatever they are; words with it go alone
-        mark, between = ("\n", "\n") if keeps_space else ("\x01", " \x01 ")
-        (mark_id,) = library.encode(mark, add_special_tokens=False).ids
-
-        def many(words: list[str]) -> list[bytes]:
-            out: list[bytes] = [b""] * len(words)
-            plain = [i for i, w in enumerate(words) if len(w) < 64 and mark not in w and (not keeps_space or w[:1] == " " and w[1:2].strip() and w[-1:].strip())]
-            for a in range(0, len(plain), 2000):
-                part = plain[a:a + 2000]
-                ids = np.array(library.encode_batch_fast([between.join(words[i] for i in part)], add_special_tokens=False)[0].ids, dtype="<u4")
-                cuts = np.flatnonzero(ids == mark_id)
-                if len(cuts) != len(part) - 1:
-                    raise ValueError("the separator did not stay one id")
-                data, froms, tos = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
-                for i, f, t in zip(part, froms, tos, strict=True):
-                    out[i] = data[f:t]
-            done = set(plain)
-            rest = [i for i in range(len(words)) if i not in done]
-            for i, e in zip(rest, library.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, dtype="<u4").tobytes()
-            return out
-
-        return TextEncoder(many, keeps_space)
+        return TextEncoder(_Joined(library, keeps_space).many, keeps_space)
 
     return once_per_worker(("library", path, keeps_space), load)
