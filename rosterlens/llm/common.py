@@ -89,6 +89,9 @@ class Memo:
     def __init__(self, make: Callable[[list], dict], most: int = 64_000_000):
         self.make, self.half, self.size, self.new, self.old = make, most // 2, 0, {}, {}
 
+    def clear(self) -> None:
+        self.size, self.new, self.old = 0, {}, {}
+
     def _keep(self, made: dict) -> None:
         self.new.update(made)
         self.size += 100 * len(made) + sum(map(getsizeof, made)) + sum(map(getsizeof, made.values()))

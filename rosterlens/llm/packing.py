@@ -24,22 +24,30 @@ END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = END_ID, sparing: bool = False) -> DataFrame:
     """One row per piece of each document: doc_id, piece, start, length, ids_crc32.
 
     A document's ids are its text's, then `end_id`. Documents of up to `capacity` ids are one piece;
     longer ones are cut into pieces of `capacity`, of which only the first may be shorter. A null or
     empty text is one piece of the end id alone; repeated rows are separate documents, a null doc_id
-    stays null, further columns are ignored, an empty table gives no rows.
+    stays null, further columns are ignored, an empty table gives no rows. `sparing` takes the texts in
+    smaller slices and frees the words a worker keeps at each task's end, for less memory and more time.
     """
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer, keeps_space=True)
+        try:
+            yield from pieces(encoder, batches)
+        finally:
+            if sparing:
+                encoder.forget()
+
+    def pieces(encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[int] = []
             piece, start, length, crc = [], [], [], []
-            for row, ids in enumerate(encoder.encode(batch.column(1))):
+            for row, ids in enumerate(encoder.encode(batch.column(1), 2_000_000 if sparing else 8_000_000)):
                 ids += end
                 n = len(ids) // 4
                 lead = n % capacity or min(n, capacity)

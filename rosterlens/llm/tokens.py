@@ -28,9 +28,10 @@ class TextEncoder:
     space is dropped by the vocabulary's splitting rule and plays no part.
     """
 
-    def __init__(self, encode_many, keeps_space: bool):
+    def __init__(self, encode_many, keeps_space: bool, *memos: Memo):
         self.encode_many, self.keeps_space = encode_many, keeps_space
         self.memo = Memo(self._make, 96_000_000)
+        self.memos = (self.memo, *memos)
 
     def _make(self, words: list[str]) -> dict:
         # None marks words next to which a space isn't a safe place; the text is then cut anew
@@ -47,8 +48,14 @@ class TextEncoder:
         first, *rest = _SAFE_SPACE.split(text)
         return b"".join(self.encode_many([first, *((" " + w if self.keeps_space else w) for w in rest)]))
 
-    def encode(self, texts: pa.Array) -> Iterator[bytes]:
-        for part in text_slices(texts):
+    def forget(self) -> None:
+        """Frees the kept words, for a worker whose next task does other work."""
+        for memo in self.memos:
+            memo.clear()
+        pa.default_memory_pool().release_unused()
+
+    def encode(self, texts: pa.Array, slice_bytes: int = 8_000_000) -> Iterator[bytes]:
+        for part in text_slices(texts, slice_bytes):
             lists = pc.split_pattern(part, " ")
             bounds = np.asarray(lists.offsets)
             words = Words(lists.flatten(), bounds - bounds[0])
@@ -147,6 +154,7 @@ def library_encoder(path: str, keeps_space: bool) -> TextEncoder:
 
         library = Tokenizer.from_file(path)
         library.encode_special_tokens = True
-        return TextEncoder(_Joined(library, keeps_space).many, keeps_space)
+        joined = _Joined(library, keeps_space)
+        return TextEncoder(joined.many, keeps_space, joined.memo)
 
     return once_per_worker(("library", path, keeps_space), load)
