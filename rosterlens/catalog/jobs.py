@@ -7,6 +7,7 @@ from ..operators import checks as ck
 from ..operators import exposure as ex
 from ..operators import graph as gh
 from ..operators import joins as jn
+from ..operators import elastic as el
 from ..operators import learners as ln
 from ..operators import profiles as pf
 from ..operators import resample as rs
@@ -163,33 +164,76 @@ def _(v):
     return rounded(p.groupBy("game").agg(F.avg("p").alias("p"), F.avg("label").alias("observed")))
 
 
+GROUPS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]
+# one class of each kind has no share of its own, as the shares add up to 1
+SHARES = {"flag": ["A", "N"], "status": ["F"], "line": list(range(1, 7)), "year": list(range(1995, 2001)), "source": list(range(16))}
+BASE_INPUTS = ["price", "log_price", "size", "size_squared", *[f"grp_{g}" for g in GROUPS]]
+TIERS = {"T1": BASE_INPUTS}
+TIERS["T2"] = [*TIERS["T1"], "sold"]
+TIERS["T3"] = [*TIERS["T2"], "quantity", "quantity_sd", "discount", "discount_sd", "tax", "tax_sd", *[f"{k}_{x}" for k in ("flag", "status", "line") for x in SHARES[k]]]
+TIERS["T4"] = [*TIERS["T3"], "month", *[f"year_{x}" for x in SHARES["year"]]]
+TIERS["T5"] = [*TIERS["T4"], *[f"source_{x}" for x in SHARES["source"]]]
+
+
 def tier_rows(v):
-    m = v.market.select("id", "cluster", "grp", F.log("value").alias("y"), "price", F.col("size").cast("double").alias("size"), F.col("sold").cast("double").alias("sold"))
-    teams = rs.deal(m.select("cluster").distinct(), [], ["cluster"], 2).withColumnRenamed("fold", "outer")
-    inner = rs.deal(m.select("cluster").distinct(), [], ["cluster"], 2, seed=1).withColumnRenamed("fold", "inner")
-    return m.join(teams, "cluster").join(inner, "cluster")
+    """Per part its mean line value (the target), its sampling variance and 48 inputs from all its lines."""
+    l = v.table("lineitem").select(
+        F.col("l_partkey").alias("id"), "l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") * (1 - F.col("l_discount")) / 1000).alias("worth"),
+        F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("line"), F.year("l_shipdate").alias("year"), (F.col("l_suppkey") % 17).alias("source"), F.month("l_shipdate").alias("month"))
+    shares = [F.avg((F.col(k) == x).cast("double")).alias(f"{k}_{x}") for k, xs in SHARES.items() for x in xs]
+    per = l.groupBy("id").agg(F.count(F.lit(1)).cast("double").alias("sold"), F.avg("worth").alias("y"), (F.var_pop("worth") / F.count(F.lit(1))).alias("psi2"), F.avg("l_quantity").alias("quantity"),
+                              F.stddev_pop("l_quantity").alias("quantity_sd"), F.avg("l_discount").alias("discount"), F.stddev_pop("l_discount").alias("discount_sd"),
+                              F.avg("l_tax").alias("tax"), F.stddev_pop("l_tax").alias("tax_sd"), F.avg("month").alias("month"), *shares)
+    p = v.table("part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("grp"), F.col("p_brand").alias("cluster"), F.col("p_retailprice").alias("price"), F.log("p_retailprice").alias("log_price"),
+                               F.col("p_size").cast("double").alias("size"), (F.col("p_size") * F.col("p_size")).cast("double").alias("size_squared"),
+                               *[(F.col("p_type") == g).cast("double").alias(f"grp_{g}") for g in GROUPS])
+    return p.join(per, "id")
+
+
+def tier_fits(v):
+    return el.nested_fits(tier_rows(v), TIERS, "y", "cluster")
 
 
 def tier_predictions(v):
-    tiers = {"T1": ["price"], "T2": ["price", "size", "sold"]}
-    rows, out = tier_rows(v), None
-    for name, inputs in tiers.items():
-        p = ln.elastic_net_out_of_fold(rows, inputs, "y", "outer", [0, 1], "inner", 2, [0.01, 0.1], [0.5])
-        p = p.select("id", "grp", "y", F.lit(name).alias("model"), "prediction")
-        out = p if out is None else out.unionByName(p)
-    return out
+    rows, fits = tier_fits(v)
+    return el.predicted(rows.select("id", "grp", "cluster", "outer", "y", "psi2", *TIERS["T5"]), fits, TIERS).select("id", "grp", "outer", "y", "psi2", F.col("tier").alias("model"), "prediction")
 
 
 @query("M14_nested_elastic_net")
 def _(v):
-    return rounded(tier_predictions(v))
+    return rounded(tier_predictions(v).drop("psi2"), 4)
+
+
+@query("M14_chosen_fits")
+def _(v):
+    return rounded(tier_fits(v)[1].select("tier", "outer", "mix", "alpha", "rows", "nonzero", "ended", "error", "intercept"), 4)
 
 
 @query("C21_tier_scoring")
 def _(v):
-    p = tier_predictions(v).withColumn("noise", F.lit(0.0))
-    rec = sc.error_records(p, ["grp", "model"], "y", "prediction", "noise")
-    return rounded(sc.model_ratios(rec, ["grp"], ["T1", "T2"], "sse", [("T2", "T1")]))
+    p = tier_predictions(v)
+    wide = p.groupBy("id", "grp", "y", "psi2").pivot("model", list(TIERS)).agg(F.first("prediction"))
+    wide = wide.join(p.filter("model = 'T1'").select("id", "outer"), "id")
+    fold = wide.groupBy("outer").agg(F.sum("y").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    whole = fold.agg(F.sum("_s").alias("_sa"), F.sum("_n").alias("_na"))
+    # the baseline: the mean of the other folds' rows
+    mean = fold.join(whole).select("outer", ((F.col("_sa") - F.col("_s")) / (F.col("_na") - F.col("_n"))).alias("P0"))
+    rows = wide.join(mean, "outer")
+    tags = F.array(F.lit("all"), F.concat(F.lit("group "), F.col("grp")))
+    return rounded(sc.error_scores(rows, "y", ["P0", *TIERS], "psi2", tags, "P0"), 4)
+
+
+@query("C21_tier_comparisons")
+def _(v):
+    p = tier_predictions(v)
+    rec = sc.error_records(p, ["grp", "model"], "y", "prediction", "psi2")
+    names = list(TIERS)
+    return rounded(sc.model_ratios(rec, ["grp"], names, "sse", list(zip(names[1:], names, strict=False))), 4)
+
+
+@query("C21_kept_coefficients")
+def _(v):
+    return rounded(el.kept_coefficients(tier_fits(v)[1], TIERS), 5)
 
 
 # ---- jobs
