@@ -288,24 +288,34 @@ def right_names(v):
     return s.select(F.col("s_suppkey").alias("other"), F.col("s_nationkey").alias("block"), tx.fold(F.col("s_name")).alias("target"))
 
 
-def scores(v, floor):
-    return lk.blocked_scores(left_names(v), right_names(v), ["block"], "id", "other", ["name", "nick"], "target", floor)
-
-
-@query("X3_similarity_blocked")
-def _(v):
-    return rounded(scores(v, 0.75))
-
-
-@query("L2_match_with_margin")
+FOLDED = lambda text: f"trim(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g'))"
+NAMED = f"""
+    l as (select c_custkey as id, c_nationkey as block, unnest([{FOLDED("'Supplier ' || right(c_name, 6)")}, {FOLDED("c_name")}]) as name from customer),
+    r as (select s_suppkey as other, s_nationkey as block, {FOLDED("s_name")} as target from supplier),
+    s as (select id, other, max(1 - levenshtein(name, target) / greatest(length(name), length(target))) as score from l join r using (block) group by 1, 2)"""
+
+
+@query("L2_match_with_margin", f"""
+    with {NAMED}, k as (select *, row_number() over (partition by id order by round(score, 9) desc, other) as n from s),
+    b as (select id, max(other) filter (where n = 1) as other, max(score) filter (where n = 1) as score, coalesce(max(score) filter (where n = 2), 0) as second from k group by 1)
+    select c_custkey as id, case when score >= 0.85 and score - second >= 0.05 - 1e-12 then other end as linked, round(coalesce(score, 0), 6) as score,
+           round(coalesce(second, 0), 6) as second,
+           case when score >= 0.85 and score - second >= 0.05 - 1e-12 then 'matched' when score >= 0.85 then 'ambiguous' else 'unmatched' end as status
+    from customer left join b on id = c_custkey""")
 def _(v):
-    out = lk.match_with_margin(left_names(v).select("id"), scores(v, 0.5), "id", "other")
+    best = lk.best_two(left_names(v), right_names(v), ["block"], "id", "other", ["name", "nick"], "target")
+    out = lk.match_with_margin(left_names(v).select("id"), best, "id", "other")
     return rounded(out.select("id", "linked", "score", "second", "status"))
 
 
-@query("L3_match_unique_hit")
+@query("L3_match_unique_hit", f"""
+    with {NAMED}, h as (select id, count(*) as n, min(other) as other from s where score >= 0.92 - 1e-12 group by 1)
+    select c_custkey as id, case when n = 1 then other end as linked, coalesce(n, 0) as hits,
+           case when n = 1 then 'linked' when n > 1 then 'ambiguous' when c_nationkey in (select block from r) then 'below_threshold' else 'no_candidate' end as status
+    from customer left join h on id = c_custkey""")
 def _(v):
-    out = lk.match_unique_hit(left_names(v).select("id", "block"), scores(v, 0.75), right_names(v), ["block"], "id", "other", 0.92)
+    hits = lk.at_least(left_names(v), right_names(v), ["block"], "id", "other", ["name", "nick"], "target", 0.92)
+    out = lk.match_unique_hit(left_names(v).select("id", "block"), hits, right_names(v), ["block"], "id", "other", 0.92 - 1e-12)
     return out.select("id", "linked", "hits", "status")
 
 

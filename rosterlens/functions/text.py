@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 import unicodedata
 from collections.abc import Sequence
@@ -95,41 +94,17 @@ def mapped_position(name: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for p in POSITION_GROUPS.items() for x in p]), name)
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio, 0 when either is empty; meant for blocked pairs only."""
-    prepared: dict[str, difflib.SequenceMatcher] = {}  # the index over a second name, per batch
+def edit_similarity(a: Column, b: Column) -> Column:
+    """1 less the edits from one text to the other over the longer length, 0 when either is empty."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when((a != "") & (b != ""), 1 - F.levenshtein(a, b) / longer).otherwise(F.lit(0.0))
 
-    def one(x, y):
-        if not x or not y:
-            return 0.0
-        matcher = prepared.get(y)
-        if matcher is None:
-            matcher = prepared[y] = difflib.SequenceMatcher(None, "", y)
-        matcher.set_seq1(x)
-        return matcher.ratio()
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
-# The characters folded text is made of, the space apart.
-FOLDED = "abcdefghijklmnopqrstuvwxyz0123456789"
-
-
-def letter_counts(text: Column) -> Column:
-    """How often each folded character occurs, then everything else together."""
-    size = F.length(text)
-    counts = [size - F.length(F.translate(text, c, "")) for c in FOLDED]
-    return F.array(*counts, F.length(F.translate(text, FOLDED, "")))
-
-
-def may_reach(a: Column, b: Column, counts_a: Column, counts_b: Column, threshold: float) -> Column:
-    """Whether lengths and shared letters allow the ratio to reach the threshold: no more letters
-    can match than two texts have in common."""
-    total = F.length(a) + F.length(b)
-    short = 2 * F.least(F.length(a), F.length(b)) >= F.lit(threshold) * total
-    common = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return (a != "") & (b != "") & short & (2 * common >= F.lit(threshold) * total)
+def grams(text: Column, size: int = 2) -> Column:
+    """The runs of `size` characters of a text, the second of two equal ones told from the first, and so on."""
+    at = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    runs = F.transform(at, lambda i: F.substring(text, i, size))
+    return F.transform(runs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(runs, F.lit(1), i), lambda x: x == g)).cast("string")))
 
 
 @F.pandas_udf(T.StringType())

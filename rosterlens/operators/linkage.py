@@ -7,51 +7,101 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import letter_counts, may_reach, similarity, tokens_contained
-from ..scale import partitions, salted_join
+from ..functions.text import edit_similarity, grams, tokens_contained
+from ..scale import lookup, salted_join
 from ..session import checkpointed
 
 # Acceptance score and margin of the first provider, score of the second.
 ACCEPT, MARGIN, ACCEPT_SECOND = 0.85, 0.05, 0.75
 
 
-def blocked_scores(left: DataFrame, right: DataFrame, block: Sequence[str], id: str, other: str,
-                   names: Sequence[str], target: str, floor: float, rows: int | None = None) -> DataFrame:
-    """Per left row and candidate of its block: the best similarity over the row's names.
+def _named(left: DataFrame, block: Sequence[str], id: str, names: Sequence[str]) -> DataFrame:
+    """A row's different names that are not empty."""
+    return left.select(*block, id, F.explode(F.array_distinct(F.array_compact(F.array(*names)))).alias("_name")).filter("_name <> ''")
 
-    Names are folded already. Pairs whose lengths and letters cannot reach ``floor`` are settled
-    in the JVM and never reach Python; the rest are scored in Arrow batches. Equal names of a
-    block are scored once.
+
+def indexed_scores(asked: DataFrame, targets: DataFrame, block: Sequence[str], id: str, other: str, floor: float, size: int = 2,
+                   rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every pair of a block whose similarity reaches `floor`, found through rare grams; and the ids with a name too short for that.
+
+    Within k edits two texts differ in at most k times `size` grams, so they share one of the first k * size + 1 of each,
+    counted from the rarest in the block. k is bounded by a text's own length, as the other is at most 1 / floor times as long.
+    A name with no more grams than that has no such guarantee: its id is left to other means.
     """
-    distinct = right.select(*block, F.col(target).alias("_target")).distinct()
-    long = left.select(*block, id, F.explode(F.array_distinct(F.array_compact(F.array(*names)))).alias("_name"))
-    asked = long.select(*block, "_name").distinct()
-    asked = asked.withColumn("_la", letter_counts(F.col("_name")))
-    distinct = distinct.withColumn("_lb", letter_counts(F.col("_target")))
-    reach = may_reach(F.col("_name"), F.col("_target"), F.col("_la"), F.col("_lb"), floor)
-    met = salted_join(asked, distinct, block, reach, ["_name"], rows).drop("_la", "_lb")
-    # scoring costs far more than its bytes suggest: a fixed partition count keeps it spread out
-    met = met.repartition(partitions(met), "_name", "_target")
-    scored = met.withColumn("score", similarity("_name", "_target")).filter(F.col("score") >= floor)
-    mine = long.join(scored, [*block, "_name"])
-    hits = mine.join(right.select(*block, other, F.col(target).alias("_target")), [*block, "_target"])
-    return hits.groupBy(*block, id, other).agg(F.max("score").alias("score"))
-
-
-def match_with_margin(left: DataFrame, scores: DataFrame, id: str, other: str, accept: float = ACCEPT,
-                      margin: float = MARGIN) -> DataFrame:
-    """Matched when the best score is high enough and clear of the second; else ambiguous, or
-    unmatched. Scores below the scored floor count as 0."""
+    limit = F.floor((1 - floor) / floor * F.length("_text") + 1e-9) * size + 1
+
+    def prefix(texts: DataFrame, keep: Sequence[str]) -> DataFrame:
+        spread = texts.select(*block, *keep, F.col(keep[-1]).alias("_text")).withColumn("_gram", F.explode(grams(F.col("_text"), size)))
+        # the whole table of counts holds each gram of a block once
+        counted = lookup(spread, common, [*block, "_gram"])
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("_held", F.lit(0)).alias("n"), F.col("_gram").alias("g"))))
+        ranked = counted.groupBy(*block, *keep, "_text").agg(order.alias("_all"))
+        return ranked.select(*block, *keep, F.explode(F.slice("_all", F.lit(1), limit.cast("int"))).alias("_g")).select(*block, *keep, F.col("_g.g").alias("_gram"))
+
+    of_targets = targets.select(*block, "_target").distinct()
+    common = of_targets.select(*block, F.explode(grams(F.col("_target"), size)).alias("_gram")).groupBy(*block, "_gram").agg(F.count(F.lit(1)).alias("_held"))
+    names = asked.select(*block, "_name").distinct()
+    met = salted_join(prefix(names, ["_name"]), prefix(of_targets, ["_target"]), [*block, "_gram"], None, ["_name"], rows).select(*block, "_name", "_target").distinct()
+    near = F.least(F.length("_name"), F.length("_target")) >= floor * F.greatest(F.length("_name"), F.length("_target")) - 1e-9
+    scored = met.filter(near).withColumn("score", edit_similarity(F.col("_name"), F.col("_target"))).filter(F.col("score") >= floor - 1e-12)
+    pairs = asked.join(scored, [*block, "_name"]).join(targets, [*block, "_target"]).groupBy(*block, id, other).agg(F.max("score").alias("score"))
+    short = asked.withColumn("_text", F.col("_name")).filter(F.length("_name") - size + 1 < limit).select(id).distinct()
+    return pairs, short
+
+
+def _whole_block(asked: DataFrame, targets: DataFrame, block: Sequence[str], id: str, other: str, rows: int | None) -> DataFrame:
+    """All pairs of the asked rows with their block, each row's best kept as they come."""
+    met = salted_join(asked, targets, list(block), None, ["_name"], rows)
+    return met.withColumn("score", edit_similarity(F.col("_name"), F.col("_target"))).groupBy(*block, id, other).agg(F.max("score").alias("score"))
+
+
+def best_two(left: DataFrame, right: DataFrame, block: Sequence[str], id: str, other: str, names: Sequence[str], target: str,
+             floors: Sequence[float] = (0.8, 0.6), rows: int | None = None) -> DataFrame:
+    """Each row's two most similar candidates of its block over all its names: id, other, score, place (1, 2).
+
+    Ties go to the smaller `other`. Names are folded already. A row with two candidates at a floor is settled there;
+    only the others are asked again at the next, and what is left then, against its whole block.
+    """
+    targets = checkpointed(right.select(*block, other, F.col(target).alias("_target")).filter("_target <> ''"))
+    asked, found = checkpointed(_named(left, block, id, names)), None
+    for floor in floors:
+        pairs, short = indexed_scores(asked, targets, block, id, other, floor, rows=rows)
+        pairs = checkpointed(pairs)
+        settled = pairs.groupBy(id).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select(id).join(short, id, "left_anti")
+        settled = checkpointed(settled)
+        part = pairs.join(settled, id, "left_semi").select(id, other, "score")
+        found = part if found is None else found.unionByName(part)
+        asked = checkpointed(asked.join(settled, id, "left_anti"))
+    rest = _whole_block(asked, targets, block, id, other, rows).select(id, other, "score")
+    every = rest if found is None else found.unionByName(rest)
     w = Window.partitionBy(id).orderBy(F.desc("score"), other)
-    top = scores.withColumn("_n", F.row_number().over(w)).filter("_n <= 2").groupBy(id).agg(
-        F.max(F.when(F.col("_n") == 1, F.col(other))).alias("linked"),
-        F.max(F.when(F.col("_n") == 1, F.col("score"))).alias("score"),
-        F.max(F.when(F.col("_n") == 2, F.col("score"))).alias("second"))
+    return every.withColumn("place", F.row_number().over(w)).filter("place <= 2")
+
+
+def at_least(left: DataFrame, right: DataFrame, block: Sequence[str], id: str, other: str, names: Sequence[str], target: str, floor: float,
+             rows: int | None = None) -> DataFrame:
+    """Every pair of a row and a candidate of its block whose similarity over all its names reaches `floor`."""
+    targets = right.select(*block, other, F.col(target).alias("_target")).filter("_target <> ''")
+    asked = checkpointed(_named(left, block, id, names))
+    pairs, short = indexed_scores(asked, targets, block, id, other, floor, rows=rows)
+    few = checkpointed(short)
+    rest = _whole_block(asked.join(few, id, "left_semi"), targets, block, id, other, rows).filter(F.col("score") >= floor - 1e-12)
+    return pairs.join(few, id, "left_anti").unionByName(rest)
+
+
+def match_with_margin(left: DataFrame, best: DataFrame, id: str, other: str, accept: float = ACCEPT,
+                      margin: float = MARGIN) -> DataFrame:
+    """Matched when the best score is high enough and clear of the second (0 without one); else ambiguous, or
+    unmatched. `best` holds each row's best two candidates, as best_two() gives them."""
+    top = best.groupBy(id).agg(
+        F.max(F.when(F.col("place") == 1, F.col(other))).alias("linked"),
+        F.max(F.when(F.col("place") == 1, F.col("score"))).alias("score"),
+        F.max(F.when(F.col("place") == 2, F.col("score"))).alias("second"))
     out = left.join(top, id, "left")
-    best, second = F.coalesce("score", F.lit(0.0)), F.coalesce("second", F.lit(0.0))
-    status = (F.when((best >= accept) & (best - second >= margin), "matched")
-              .when(best >= accept, "ambiguous").otherwise("unmatched"))
-    out = out.withColumns({"score": best, "second": second, "status": status})
+    one, second = F.coalesce("score", F.lit(0.0)), F.coalesce("second", F.lit(0.0))
+    status = (F.when((one >= accept) & (one - second >= margin - 1e-12), "matched")
+              .when(one >= accept, "ambiguous").otherwise("unmatched"))
+    out = out.withColumns({"score": one, "second": second, "status": status})
     return out.withColumn("linked", F.when(F.col("status") == "matched", F.col("linked")))
 
 

@@ -1,6 +1,5 @@
 """Hand-made cases and brute force on small fixtures."""
 
-import difflib
 import itertools
 import random
 
@@ -157,27 +156,29 @@ def test_text(spark):
     assert spark.createDataFrame(bands, "p long, b int").filter(nm.band(F.col("p")) != F.col("b")).count() == 0
 
 
-def test_similarity_prefilter_is_exact(spark):
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j: min(left + 1, row[j] + 1, row[j - 1] + (x != b[j - 1])), initial=i))
+    return row[-1]
+
+
+def test_best_two_are_the_true_ones(spark):
     r = random.Random(5)
-    word = lambda: "".join(r.choice("abcde ") for _ in range(r.randint(1, 9))).strip() or "a"
-    left = [(i, i % 3, word(), word()) for i in range(40)]
-    right = [(100 + i, i % 3, word()) for i in range(40)]
+    word = lambda: "".join(r.choice("abcde ") for _ in range(r.randint(1, 14))).strip() or "a"
+    near = lambda w: "".join(r.choice("xyz") if r.random() < 0.12 else c for c in w)
+    right = [(100 + i, i % 3, word()) for i in range(40)] + [(300, 0, "same name here"), (301, 0, "same name here"), (302, 0, "")]
+    left = [(i, i % 3, near(right[i][2]), word() if i % 4 else None) for i in range(40)] + [(90, 0, "same name here", None), (91, 7, "alone", ""), (92, 1, "", None)]
     a = spark.createDataFrame(left, "id int, block int, name string, nick string")
     b = spark.createDataFrame(right, "other int, block int, target string")
-    got = {(x.id, x.other): round(x.score, 12) for x in lk.blocked_scores(a, b, ["block"], "id", "other", ["name", "nick"], "target", 0.6, rows=5).collect()}
-    want = {}
+    got = {}
+    for x in lk.best_two(a, b, ["block"], "id", "other", ["name", "nick"], "target", rows=5).collect():
+        got.setdefault(x.id, {})[x.place] = (x.other, round(x.score, 9))
+    hits = {(x.id, x.other) for x in lk.at_least(a, b, ["block"], "id", "other", ["name", "nick"], "target", 0.75, rows=5).collect()}
     for i, bl, n, k in left:
-        for o, br, t in right:
-            s = max(difflib.SequenceMatcher(None, x, t).ratio() for x in (n, k))
-            if bl == br and s >= 0.6:
-                want[i, o] = round(s, 12)
-    assert got == want
-    scored = lk.blocked_scores(a, b, ["block"], "id", "other", ["name", "nick"], "target", 0.6)
-    out = {x.id: x for x in lk.match_with_margin(a.select("id"), scored, "id", "other", 0.7, 0.1).collect()}
-    for i, *_ in left:
-        s = sorted((v for (x, _), v in want.items() if x == i), reverse=True) + [0.0, 0.0]
-        status = "matched" if s[0] >= 0.7 and s[0] - s[1] >= 0.1 - 1e-12 else "ambiguous" if s[0] >= 0.7 else "unmatched"
-        assert out[i].status == status
+        s = sorted((-max(round(1 - edits(x, t) / max(len(x), len(t)), 9) for x in (n, k) if x), o) for o, br, t in right if br == bl and t and (n or k))
+        assert got.get(i, {}) == {p + 1: (o, -v) for p, (v, o) in enumerate(s[:2])}
+        assert {o for x, o in hits if x == i} == {o for v, o in s if -v >= 0.75}
 
 
 def test_assignment(spark):
