@@ -112,23 +112,25 @@ def _(v):
 
 
 FEATURES = """
-    select player, avg(start_x) as x, case when any_value(team) = 0 then 1 else 0 end as t0,
-           case when any_value(team) = 3 then 1 else 0 end as t3 from v_action group by 1"""
+    with_type as (select player, case when type in ('pass', 'shot', 'cross') then type end as kind, sum(value) as m from v_action group by 1, 2),
+    main as (select player, coalesce(arg_min(kind, (-m, kind)) filter (where kind is not null), 'UNKNOWN') as kind from with_type group by 1),
+    feat as (select player, coalesce(avg(start_x), 0) / 100 as x, coalesce(avg(end_y), 0) / 100 as y from v_action group by 1)"""
+KINDS = ["cross", "pass", "shot"]
 
 
 def features(v):
-    per = v.action.groupBy("player", "team").agg(F.avg("start_x").alias("x"))
-    return per.select("player", F.coalesce("x", F.lit(0.0)).alias("x"), (F.col("team") == 0).cast("int").alias("t0"),
-                      (F.col("team") == 3).cast("int").alias("t3"))
+    return gh.node_features(v.action, "player", "type", KINDS, {"x": F.col("start_x") / 100, "y": F.col("end_y") / 100}, F.col("value"))
 
 
-@query("M30_node_features", f"select player, round(x, 6) as x, t0, t3 from ({FEATURES})")
+@query("M30_node_features", f"""
+    with {FEATURES} select player, round(x, 6) as x, round(y, 6) as y, (kind = 'cross')::int as is_cross, (kind = 'pass')::int as is_pass, (kind = 'shot')::int as is_shot,
+           (kind = 'UNKNOWN')::int as "is_UNKNOWN" from feat join main using (player)""")
 def _(v):
     return rounded(features(v))
 
 
 @query("M31_two_hop_means", f"""
-    with {LINKS_SQL}, f as ({FEATURES}),
+    with {LINKS_SQL}, f as (select player, avg(start_x) / 100 as x from v_action group by 1),
     e as (select player_a as node, player_b as partner from links union all select player_b, player_a from links),
     one as (select f.player, any_value(f.x) as x, coalesce(avg(g.x), 0) as near_x from f left join e on e.node = f.player
             left join f g on g.player = e.partner group by 1)
@@ -145,37 +147,74 @@ def _(v):
                               F.col("near_x").alias("near_x2"), F.col("near_m").alias("near_near_x")))
 
 
-@query("M32_link_prediction_auc", f"""
-    with {LINKS_SQL}, f as (select player, avg(start_x) / 50 - 1 as a, avg(start_y) / 50 - 1 as b, avg(end_x) / 50 - 1 as c from v_action group by 1),
-    h as (select *, ('0x' || substr(md5('1-' || player_a || '-' || player_b), 1, 8))::bigint as hv from links),
-    pos as (select player_a, player_b, 1 as y from h where hv < 2147483648),
+HIDDEN_SQL = f"""
+    {LINKS_SQL}, h as (select *, ('0x' || substr(md5('1-' || player_a || '-' || player_b), 1, 8))::bigint as hv from links),
+    pos as (select team, player_a, player_b, 1 as y from h where hv < 429496729),
+    asked as (select team, count(*) as n from pos group by 1),
     nd as (select team, player, row_number() over (partition by team order by player) as pos, count(*) over (partition by team) as n
            from (select distinct team, player from v_action)),
-    t as (select team, player, n, ('0x' || substr(md5('0-' || player || '-' || try), 1, 8))::bigint % n + 1 as pos2
-          from nd, range(1, 4) r(try)),
-    neg as (select distinct t.team, least(t.player, q.player) as player_a, greatest(t.player, q.player) as player_b
-            from t join nd q on q.team = t.team and q.pos = t.pos2 where t.player <> q.player),
-    neg2 as (select player_a, player_b, 0 as y from neg where not exists (select 1 from links l where l.team = neg.team
-             and l.player_a = neg.player_a and l.player_b = neg.player_b)),
-    s as (select y, round(x.a * z.a + x.b * z.b + x.c * z.c, 9) as score from (select * from pos union all select * from neg2)
+    free as (select team, max(n) * (max(n) - 1) // 2 - (select count(*) from links l where l.team = nd.team) as free from nd group by 1),
+    want as (select asked.* from asked join free using (team) where free >= 2 * asked.n),
+    dense as (select x.team, least(x.player, z.player) as player_a, greatest(x.player, z.player) as player_b, asked.n
+              from asked join free using (team) join nd x on x.team = asked.team join nd z on z.team = x.team and z.pos > x.pos where free < 2 * asked.n),
+    dk as (select *, row_number() over (partition by team order by ('0x' || substr(md5('0-' || team || '-' || player_a || '-' || player_b), 1, 8))::bigint, player_a, player_b) as place
+           from dense where not exists (select 1 from links l where l.team = dense.team and l.player_a = dense.player_a and l.player_b = dense.player_b)),
+    sl as (select w.team, k.n, unnest(range(0, 14 * w.n)) as slot from want w join (select distinct team, n from nd) k using (team)),
+    hs as (select *, ('0x' || substr(md5('0-' || team || '-' || slot || '-a'), 1, 8))::bigint % n + 1 as i, ('0x' || substr(md5('0-' || team || '-' || slot || '-b'), 1, 8))::bigint % (n - 1) as d from sl),
+    dr as (select team, least(i, 1 + (i + d) % n) as i, greatest(i, 1 + (i + d) % n) as j, min(slot) as slot from hs group by 1, 2, 3),
+    pr as (select dr.team, slot, least(x.player, z.player) as player_a, greatest(x.player, z.player) as player_b from dr
+           join nd x on x.team = dr.team and x.pos = i join nd z on z.team = dr.team and z.pos = j),
+    fr as (select *, row_number() over (partition by team order by slot) as place from pr
+           where not exists (select 1 from links l where l.team = pr.team and l.player_a = pr.player_a and l.player_b = pr.player_b)),
+    neg as (select team, player_a, player_b, 0 as y from fr join want using (team) where place <= want.n
+            union all select team, player_a, player_b, 0 from dk where place <= n)"""
+
+
+def hidden_and_negatives(v):
+    l = gh.split_links(links(v), ["player_a", "player_b"], 0.1, seed=1)
+    pos = l.filter("hidden").select("team", "player_a", "player_b", F.lit(1).alias("y"))
+    neg = gh.balanced_negatives(nodes(v), l, pos.groupBy("team").agg(F.count(F.lit(1)).alias("n")), ["team"], "player")
+    return l, pos.unionByName(neg.withColumn("y", F.lit(0)))
+
+
+@query("M32_balanced_negatives", f"""
+    with {HIDDEN_SQL} select * from pos union all select * from neg""")
+def _(v):
+    return hidden_and_negatives(v)[1]
+
+
+@query("M32_link_prediction_auc", f"""
+    with {HIDDEN_SQL}, f as (select player, avg(start_x) / 50 - 1 as a, avg(start_y) / 50 - 1 as b, avg(end_x) / 50 - 1 as c from v_action group by 1),
+    s as (select y, round(x.a * z.a + x.b * z.b + x.c * z.c, 9) as score from (select * from pos union all select * from neg)
           join f x on x.player = player_a join f z on z.player = player_b),
     r as (select y, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2 as rk from s)
     select count(*) filter (where y = 1) as positives, count(*) filter (where y = 0) as negatives,
            round((sum(rk) filter (where y = 1) - count(*) filter (where y = 1) * (count(*) filter (where y = 1) + 1) / 2)
-                 / (count(*) filter (where y = 1) * count(*) filter (where y = 0)), 6) as auc
+                 / nullif(count(*) filter (where y = 1) * count(*) filter (where y = 0), 0), 6) as auc
     from r""")
 def _(v):
-    l = links(v)
-    pos = gh.split_links(l, ["player_a", "player_b"], 0.5, seed=1).filter("hidden").select(
-        "player_a", "player_b", F.lit(1).alias("y"))
-    neg = gh.sampled_negatives(nodes(v), l, ["team"], "player").select("player_a", "player_b", F.lit(0).alias("y"))
+    pairs = hidden_and_negatives(v)[1]
     cols = {c: F.avg(s) / 50 - 1 for c, s in (("a", "start_x"), ("b", "start_y"), ("c", "end_x"))}
     f = v.action.groupBy("player").agg(*[c.alias(n) for n, c in cols.items()])
     vec = f.select("player", vector(["a", "b", "c"]).alias("vec"))
-    scored = gh.pair_scores(pos.unionByName(neg), vec, "player", "vec").withColumn("score", F.round("score", 9))
+    scored = gh.pair_scores(pairs, vec, "player", "vec").withColumn("score", F.round("score", 9))
     return rounded(gh.auc(scored, [], F.col("y") == 1, "score"))
 
 
+@query("M32_learned_link_scores")
+def _(v):
+    l, test = hidden_and_negatives(v)
+    kept = l.filter("not hidden").select("team", "player_a", "player_b", F.lit(1).alias("y"))
+    barred = test.select("team", "player_a", "player_b").unionByName(l.select("team", "player_a", "player_b"))
+    count = kept.groupBy("team").agg(F.count(F.lit(1)).alias("n"))
+    train = kept.unionByName(gh.balanced_negatives(nodes(v), barred, count, ["team"], "player", seed=2).withColumn("y", F.lit(0)))
+    f = features(v)
+    two = gh.two_hop(f.withColumnRenamed("player", "node"), gh.both_ends(kept, []), [c for c in f.columns if c != "player"])
+    vec = two.select(F.col("node").alias("player"), F.array(F.lit(1.0), *[F.col(c).cast("double") for c in two.columns if c != "node"]).alias("vec"))
+    scored = gh.learned_link_scores(train, test, vec, "player", "vec").withColumn("score", F.round("score", 9))
+    return rounded(gh.auc(scored, ["team"], F.col("y") == 1, "score"))
+
+
 # ---- cohorts
 
 MAIN = """

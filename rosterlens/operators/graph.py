@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import dot
-from ..scale import lookup, value_ranks
+from ..scale import lookup, numbered, value_ranks
+from ..session import checkpointed
 from .resample import hashed
 
 # Least count of a partner, partners kept per node.
@@ -100,10 +101,10 @@ def neighbour_means(features: DataFrame, edges: DataFrame, columns: Sequence[str
 
 
 def two_hop(features: DataFrame, edges: DataFrame, columns: Sequence[str], node: str = "node") -> DataFrame:
-    """Neighbourhood means taken twice: a node's own features, its neighbours' and theirs."""
-    one = neighbour_means(features, edges, columns, node)
-    wide = [*columns, *[f"near_{c}" for c in columns]]
-    return neighbour_means(one, edges, wide, node)
+    """Neighbourhood means taken twice: a node's own features, its neighbours' (near_) and the neighbours' of those (near_hop_)."""
+    one = checkpointed(neighbour_means(features, edges, columns, node))
+    hop = neighbour_means(one.select(node, *[F.col(f"near_{c}").alias(f"hop_{c}") for c in columns]), edges, [f"hop_{c}" for c in columns], node)
+    return lookup(one, hop.drop(*[f"hop_{c}" for c in columns]), [node])
 
 
 def split_links(links: DataFrame, pair: Sequence[str], share: float, seed: int = 0) -> DataFrame:
@@ -112,23 +113,80 @@ def split_links(links: DataFrame, pair: Sequence[str], share: float, seed: int =
     return links.withColumn("hidden", h < F.lit(int(share * 2**32)))
 
 
-def sampled_negatives(nodes: DataFrame, links: DataFrame, block: Sequence[str], node: str, tries: int = 3,
-                      seed: int = 0) -> DataFrame:
-    """Unlinked pairs of a block, drawn by hash instead of listing every pair.
+def node_features(rows: DataFrame, node: str, group: str, groups: Sequence, values: dict[str, Column], minutes: Column) -> DataFrame:
+    """Per node: its group, the one of most `minutes` (ties to the first name), as indicators, and means of the values.
 
-    Each node draws partners by position within its block; drawn pairs that are links, repeats or
-    the node itself drop out.
+    A node with no group, or one that is not listed, is UNKNOWN; a node without any value has a mean of 0.
     """
-    from ..scale import numbered
-
-    n = numbered(nodes.select(*block, node).distinct(), block, [node], "_at")
-    sized = lookup(n, n.groupBy(*block).agg(F.max("_at").alias("_n")), block, "inner")
-    tried = sized.select(*block, node, "_n", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("_try"))
-    spot = F.pmod(hashed(F.lit(seed), F.col(node), F.col("_try")), F.col("_n")) + 1
-    met = lookup(tried.withColumn("_at", spot), n.withColumnRenamed(node, "partner"), [*block, "_at"], "inner")
-    pairs = unordered(met.filter(F.col(node) != F.col("partner")), node, "partner")
-    pairs = pairs.select(*block, "player_a", "player_b").distinct()
-    return pairs.join(links.select(*block, "player_a", "player_b"), [*block, "player_a", "player_b"], "left_anti")
+    cells = rows.groupBy(node, group).agg(F.sum(minutes).alias("_m"), *[F.sum(c).alias(f"_s_{n}") for n, c in values.items()], *[F.count(c).alias(f"_n_{n}") for n, c in values.items()])
+    known = F.col(group).isin(*groups)
+    per = cells.groupBy(node).agg(
+        F.min_by(group, F.when(known, F.struct(-F.col("_m"), F.col(group)))).alias("_g"), F.max(known.cast("int")).alias("_known"),
+        *[F.coalesce(F.try_divide(F.sum(f"_s_{n}"), F.sum(f"_n_{n}")), F.lit(0.0)).alias(n) for n in values])
+    named = F.when(F.col("_known") == 1, F.col("_g").cast("string")).otherwise(F.lit("UNKNOWN"))
+    return per.select(node, *values, *[(named == str(g)).cast("int").alias(f"is_{g}") for g in [*groups, "UNKNOWN"]])
+
+
+def balanced_negatives(nodes: DataFrame, links: DataFrame, wanted: DataFrame, block: Sequence[str], node: str, seed: int = 0, rounds: int = 20) -> DataFrame:
+    """Unlinked pairs of each block, as many as `wanted` (block, n) asks, drawn by hash in rounds.
+
+    Draw s of a block names two different places among its nodes; the first draws that are neither links nor repeats are
+    kept in order, so the result does not depend on how many draws a round takes. Blocks still short draw twice as many in
+    the next round. A block with fewer than twice as many unlinked pairs as asked has less than three times as many pairs as
+    links or asked pairs: all its unlinked pairs are listed, and the first taken in hash order, or all if there are no more.
+    Raises when the rounds do not suffice.
+    """
+    n = checkpointed(numbered(nodes.select(*block, node).distinct(), block, [node], "_at"))
+    asked = wanted.select(*block, F.col("n").alias("_want")).filter("_want > 0")
+    own = links.select(*block, "player_a", "player_b").distinct()
+    sized = n.groupBy(*block).agg(F.max("_at").alias("_n"))
+    linked = own.groupBy(*block).agg(F.count(F.lit(1)).alias("_links"))
+    sized = checkpointed(asked.join(sized, list(block)).join(linked, list(block), "left").withColumn("_free", F.expr("_n * (_n - 1) div 2") - F.coalesce("_links", F.lit(0))))
+    dense = sized.filter("_free < 2 * _want").select(*block, "_want")
+    listed = n.join(dense, list(block)).withColumnRenamed(node, "_x").join(n.select(*block, F.col(node).alias("_y"), F.col("_at").alias("_to")), list(block)).filter("_at < _to")
+    listed = listed.select(*block, "_want", F.least("_x", "_y").alias("player_a"), F.greatest("_x", "_y").alias("player_b")).join(own, [*block, "player_a", "player_b"], "left_anti")
+    listed = listed.withColumn("_h", hashed(F.lit(seed), *[F.col(c) for c in block], F.col("player_a"), F.col("player_b")))
+    listed = numbered(listed, block, ["_h", "player_a", "player_b"], "_place").filter("_place <= _want").select(*block, "player_a", "player_b")
+    sized = sized.filter("_free >= 2 * _want")
+    todo, found, first, each = sized.select(*block, "_n", "_want"), None, 0, 2
+    for _ in range(rounds):
+        # slots are counted per block from `first` times what it wants on, so that rounds never overlap
+        slots = todo.withColumn("_slot", F.explode(F.sequence(F.col("_want") * first, F.col("_want") * (first + each) - 1)))
+        keys = [F.lit(seed), *[F.col(c) for c in block], F.col("_slot")]
+        one = F.pmod(hashed(*keys, F.lit("a")), F.col("_n")) + 1
+        two = 1 + F.pmod(one + F.pmod(hashed(*keys, F.lit("b")), F.col("_n") - 1), F.col("_n"))
+        drawn = slots.select(*block, "_slot", F.least(one, two).alias("_i"), F.greatest(one, two).alias("_j"))
+        drawn = drawn.groupBy(*block, "_i", "_j").agg(F.min("_slot").alias("_slot"))
+        ends = lookup(lookup(drawn, n.withColumnsRenamed({node: "_x", "_at": "_i"}), [*block, "_i"], "inner"), n.withColumnsRenamed({node: "_y", "_at": "_j"}), [*block, "_j"], "inner")
+        pairs = ends.select(*block, "_slot", F.least("_x", "_y").alias("player_a"), F.greatest("_x", "_y").alias("player_b"))
+        fresh = pairs.join(own, [*block, "player_a", "player_b"], "left_anti")
+        every = fresh if found is None else found.unionByName(fresh).groupBy(*block, "player_a", "player_b").agg(F.min("_slot").alias("_slot"))
+        found = checkpointed(every.select(*block, "_slot", "player_a", "player_b"))
+        have = found.groupBy(*block).agg(F.count(F.lit(1)).alias("_have"))
+        todo = checkpointed(sized.select(*block, "_n", "_want").join(have, list(block), "left").filter(F.coalesce("_have", F.lit(0)) < F.col("_want")).drop("_have"))
+        if todo.isEmpty():
+            break
+        first, each = first + each, 2 * each
+    else:
+        raise RuntimeError(f"too few unlinked pairs after {rounds} rounds")
+    placed = numbered(found, block, ["_slot"], "_place").join(asked, list(block))
+    return placed.filter("_place <= _want").select(*block, "player_a", "player_b").unionByName(listed)
+
+
+def learned_link_scores(train: DataFrame, test: DataFrame, vectors: DataFrame, id: str, vector: str, label: str = "y", penalty: float = 1e-3) -> DataFrame:
+    """The test pairs with `score`: a logistic regression on the products of both ends' vector places, fitted on the training pairs."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    def products(pairs: DataFrame) -> DataFrame:
+        a = vectors.select(F.col(id).alias("player_a"), F.col(vector).alias("_a"))
+        b = vectors.select(F.col(id).alias("player_b"), F.col(vector).alias("_b"))
+        met = lookup(lookup(pairs, a, ["player_a"], "inner"), b, ["player_b"], "inner")
+        return met.withColumn("_f", array_to_vector(F.zip_with("_a", "_b", lambda x, y: x * y))).drop("_a", "_b")
+
+    model = LogisticRegression(featuresCol="_f", labelCol=label, regParam=penalty, maxIter=100).fit(checkpointed(products(train)))
+    out = model.transform(products(test)).withColumn("score", vector_to_array("probability")[1])
+    return out.drop("_f", "rawPrediction", "probability", "prediction")
 
 
 def pair_scores(pairs: DataFrame, vectors: DataFrame, id: str, vector: str) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rosterlens.operators import elastic as el
+from rosterlens.operators import graph as gh
 from rosterlens.operators import refits as rf
 from rosterlens.operators import resample as rs
 from rosterlens.plans import upgrade as up
@@ -176,3 +177,30 @@ def test_broken_plans_are_found(spark):
     for name, fit, budget, cap, cost, ids, out in plans:
         p = spark.createDataFrame([("k", fit, budget, cap, cost, ids, out)], "club string, fit boolean, budget double, cap int, cost double, in_ids array<long>, out_ids array<long>")
         assert up.broken_plans(p, own, cand, shape).count() == (name not in ("right", "none")), name
+
+
+def test_balanced_negatives(spark):
+    r = random.Random(1)
+    nodes = [("dense", i) for i in range(6)] + [("wide", 100 + i) for i in range(40)] + [("none", 200), ("none", 201)]
+    every = list(itertools.combinations(range(6), 2))
+    links = [("dense", *p) for p in every[:12]] + [("wide", 100 + a, 100 + b) for a, b in r.sample(list(itertools.combinations(range(40), 2)), 200)]
+    n = spark.createDataFrame(nodes, "team string, player long")
+    l = spark.createDataFrame(links, "team string, player_a long, player_b long")
+    wanted = spark.createDataFrame([("dense", 5), ("wide", 90), ("none", 0)], "team string, n long")
+    got = [tuple(x) for x in gh.balanced_negatives(n, l, wanted, ["team"], "player").collect()]
+    assert len(got) == len(set(got)) and not set(got) & set(links) and all(a < b and (t, a) in nodes and (t, b) in nodes for t, a, b in got)
+    assert sum(t == "dense" for t, *_ in got) == 3 and sum(t == "wide" for t, *_ in got) == 90
+
+
+def test_learned_link_scores_and_features(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(60, 3))
+    pairs = [(a, b, int(v[a, 0] * v[b, 0] - v[a, 1] * v[b, 1] > 0)) for a, b in itertools.combinations(range(60), 2)]
+    df = spark.createDataFrame(pairs, "player_a long, player_b long, y int")
+    vectors = spark.createDataFrame([(i, [1.0, *map(float, x)]) for i, x in enumerate(v)], "player long, vec array<double>")
+    odd = (F.col("player_a") + F.col("player_b")) % 2 == 1
+    scored = gh.learned_link_scores(df.filter(odd), df.filter(~odd), vectors, "player", "vec")
+    assert gh.auc(scored, [], F.col("y") == 1, "score").first().auc > 0.95
+    rows = spark.createDataFrame([(1, "a", 2.0, 1.0), (1, "b", 3.0, 3.0), (2, "z", 1.0, None), (3, None, 1.0, 5.0)], "player long, g string, m double, x double")
+    got = {r.player: tuple(r)[1:] for r in gh.node_features(rows, "player", "g", ["a", "b"], {"x": F.col("x")}, F.col("m")).collect()}
+    assert got == {1: (2.0, 0, 1, 0), 2: (0.0, 0, 0, 1), 3: (5.0, 0, 0, 1)}
