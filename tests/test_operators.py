@@ -23,36 +23,56 @@ from rosterlens.operators import sequences as sq
 from rosterlens.plans import upgrade as up
 
 
-def test_exposure_by_team_and_player(spark):
-    rows = [(1, 1, 10, 90, True), (1, 1, 11, 20, False), (1, 1, 12, 70, True), (1, 2, 20, 90, True), (2, 2, 10, 45, True),
-            (2, 2, 20, 90, True), (2, 1, 11, 0, False), (2, 1, 12, 90, True)]
-    df = spark.createDataFrame(rows, "game long, team long, player long, minutes long, starter boolean")
-    team = {(r.team, r.player): r for r in ex.exposure(df, ["team", "player"], starter=F.col("starter")).collect()}
-    assert len(team) == 5 and team[1, 10].minutes == 90 and team[2, 10].minutes == 45
-    assert (team[1, 11].minutes, team[1, 11].games, team[1, 11].starts) == (20, 1, 0)
-    one = {r.player: r for r in ex.exposure(df, ["player"], starter=F.col("starter")).collect()}
-    assert (one[10].minutes, one[10].games, one[10].starts) == (135, 2, 2)
-
-
-@pytest.mark.parametrize("days,cut", [(38, 23), (34, 21), (10, 6)])
-def test_windows(spark, days, cut):
+def test_exposure_against_loops(spark):
+    r = random.Random(21)
+    rows = [(g, r.choice("pq"), r.randint(1, 9), r.choice([0, 0, 15, 33, 61, 104]), r.random() < 0.4) for g in range(80)]
+    df = spark.createDataFrame(rows, "game long, team string, player long, minutes long, starter boolean")
+    for keys, of in ((["team", "player"], lambda x: (x[1], x[2])), (["player"], lambda x: (x[2],))):
+        want = {}
+        for x in rows:
+            t = want.setdefault(of(x), [0, 0, 0])
+            t[0], t[1], t[2] = t[0] + x[3], t[1] + (x[3] > 0), t[2] + x[4]
+        got = {tuple(x[k] for k in keys): [x.minutes, x.games, x.starts] for x in ex.exposure(df, keys, starter=F.col("starter")).collect()}
+        assert got == want
+
+
+@pytest.mark.parametrize("days", [1, 5, 7, 26, 51])
+def test_windows(spark, days):
     df = spark.range(1, days + 1).select(F.lit("x").alias("league"), F.col("id").cast("int").alias("game_day"))
     df = df.unionByName(spark.createDataFrame([("x", None)], "league string, game_day int"))
     got = {r.win: r["count"] for r in ex.assign_windows(df, ["league"]).groupBy("win").count().collect()}
-    assert got == {1: cut, 2: days - cut, None: 1}
-
-
-def test_sequences_and_creation(spark):
-    rows = [(1, 1, 1, 1), (1, 1, 2, 1), (1, 1, 3, 2), (1, 1, 4, 1), (1, 2, 5, 1), (2, 2, 6, 1)]
-    df = spark.createDataFrame(rows, "game int, period int, action int, team int")
-    o = sq.with_positions(sq.ordered(df)).df
-    assert [r.seq for r in o.orderBy("action").collect()] == [1, 2, 3, 1][:1] + [1, 2, 3, 1, 1]
-    players = [10, 11, 11, 10, 11, 12, 12, 10, 20]
-    kinds = ["pass", "dribble", "shot", "pass", "pass", "pass", "shot", "pass", "shot"]
-    rows = [(1, 1, i, 1 if i < 8 else 2, p, k, float(i)) for i, (p, k) in enumerate(zip(players, kinds))]
+    cut = -(-3 * days // 5)
+    assert got == {k: n for k, n in {1: cut, 2: days - cut, None: 1}.items() if n}
+
+
+def test_sequences_and_creation_against_loops(spark):
+    r = random.Random(22)
+    rows, at = [], 0
+    for game in range(4):
+        for period in (1, 2):
+            team, player = 1, 1
+            for _ in range(r.randint(1, 40)):
+                team = 3 - team if r.random() < 0.25 else team
+                player = 10 * team + r.randint(0, 3) if r.random() < 0.6 else 10 * team + player % 10
+                rows.append((game, period, at, team, player, r.choice(["pass", "carry", "shot", "pass"]), float(at)))
+                at += 1
     df = spark.createDataFrame(rows, "game int, period int, action int, team int, player int, type string, seconds double")
-    got = [r.creates for r in sq.with_sequences(df).orderBy("action").collect()]
-    assert got == [True, False, False, False, True, False, False, False, False]
+    want, number = {}, 0
+    for i, x in enumerate(rows):
+        new = i == 0 or rows[i - 1][:2] != x[:2]
+        number = 1 if new else number + (rows[i - 1][3] != x[3])
+        want[x[2]] = number
+    seq = [(*x[:2], want[x[2]]) for x in rows]
+    creates = {}
+    for i, x in enumerate(rows):
+        end = i + 1
+        while end < len(rows) and seq[end] == seq[i] and rows[end][4] == rows[min(i + 1, len(rows) - 1)][4]:
+            end += 1
+        # the next action is another player's in the sequence, and the first shot from there on is in that player's run
+        own = i + 1 < len(rows) and seq[i + 1] == seq[i] and rows[i + 1][4] != x[4]
+        creates[x[2]] = own and any(rows[k][5] == "shot" for k in range(i + 1, end))
+    assert {x.action: x.seq for x in sq.with_positions(sq.ordered(df)).df.collect()} == want
+    assert {x.action: x.creates for x in sq.with_sequences(df).collect()} == creates
 
 
 def test_band_is_inclusive(spark):
@@ -108,52 +128,76 @@ def test_permuted_spearman(spark):
     assert s["replicates"] == 5 and np.isclose(s["mean_rho"], np.mean(rho)) and np.isclose(s["largest_rho"], np.abs(rho).max()) and t["mean_rho"] is None
 
 
-def test_mirror_labels(spark):
-    moves = [(1, "2015-07-01", 1, 2, 5.0), (2, "2015-07-01", 1, 2, 5.0), (2, "2014-07-01", 2, 1, None), (3, "2015-07-01", 1, 2, None),
-             (3, "2014-07-01", 2, 1, 0.0), (4, "2015-07-01", 1, 2, 0.0), (4, "2016-07-01", 2, 1, None), (5, "2015-07-01", 1, 2, None),
-             (5, "2014-07-01", 2, 1, None), (5, "2016-07-01", 2, 1, None), (6, "2015-07-01", 1, 2, None), (6, "2019-01-01", 2, 1, None),
-             (7, "2015-07-01", 1, 2, None), (7, "2015-07-01", 2, 1, None)]
+def test_mirror_labels_against_loops(spark):
+    r = random.Random(23)
+    day = lambda: f"{r.randint(2009, 2014)}-{r.choice(['02', '07', '09'])}-{r.choice(['01', '17'])}"
+    moves = sorted({(r.randint(1, 12), day(), *r.choice([(4, 7), (7, 4)])) for _ in range(90)})
+    moves = [(*m, r.choice([None, 0.0, 0.0, 8.5])) for m in moves]
     df = spark.createDataFrame(moves, "player int, date string, from_club int, to_club int, fee double").withColumn("date", F.to_date("date"))
     d = F.col("date")
-    out = co.mirror_labels(df, df, ["player"], co.months_before(d), co.months_after(d)).filter("date = '2015-07-01' and from_club = 1")
-    got = {r.player: (r.label, r.n_mirrors) for r in out.collect()}
-    assert got == {1: ("paid", 0), 2: ("paid_mirror", 1), 3: ("loan_return", 1), 4: ("loan_out", 1), 5: ("both", 2), 6: ("free_other", 0),
-                   7: ("free_other", 1)}
-
-
-def test_partners_and_anova_and_shape(spark):
-    counts = spark.createDataFrame([("t", 1, b, n) for b, n in ((2, 9), (3, 5), (4, 5), (5, 5))] + [("t", 3, 4, 2)],
-                                   "team string, player_a int, player_b int, n long")
-    kept = {(r.player_a, r.player_b) for r in gh.kept_links(counts, ["team"], partners=2).collect()}
-    assert kept == {(1, 2), (1, 3), (1, 4), (1, 5)}
-    v = spark.createDataFrame([(1, 1.0), (1, 3.0), (2, 4.0), (2, 5.0), (2, 9.0)], "team int, v double")
-    a = gr.anova(v, ["team"], "v").collect()[0]
-    msb = (2 * (2 - 4.4) ** 2 + 3 * (6 - 4.4) ** 2) / 1
-    msw = (2 + 14) / 3
-    k0 = 5 - 13 / 5
+    got = {(x.player, str(x.date), x.from_club): (x.label, x.n_mirrors) for x in co.mirror_labels(df, df, ["player"], co.months_before(d), co.months_after(d)).collect()}
+    years = lambda text, k: f"{int(text[:4]) + k}{text[4:]}"
+    for player, date, a, b, fee in moves:
+        back = [m for m in moves if (m[0], m[2], m[3]) == (player, b, a) and years(date, -3) <= m[1] <= years(date, 3)]
+        free = [m for m in back if not m[4]]
+        before, after = any(m[1] < date for m in free), any(m[1] > date for m in free)
+        label = ("paid_mirror" if back else "paid") if fee else "both" if before and after else "loan_return" if before else "loan_out" if after else "free_other"
+        assert got[player, date, a] == (label, len(back))
+
+
+def test_partners_against_loops(spark):
+    r = random.Random(24)
+    counts = [("t", a, b, r.randint(1, 6)) for a, b in itertools.combinations(range(9), 2) if r.random() < 0.7]
+    kept = {(x.player_a, x.player_b) for x in gh.kept_links(spark.createDataFrame(counts, "team string, player_a int, player_b int, n long"), ["team"], partners=2).collect()}
+    want = set()
+    for node in range(9):
+        near = sorted((-n, b if a == node else a) for _, a, b, n in counts if n >= 3 and node in (a, b))
+        want |= {(min(node, o), max(node, o)) for _, o in near[:2]}
+    assert kept == want
+
+
+def test_anova_against_sums(spark):
+    r = np.random.default_rng(25)
+    rows = [(int(t), float(v)) for t, v in zip(r.integers(0, 4, 37), r.normal(2, 1, 37))]
+    a = gr.anova(spark.createDataFrame(rows, "team int, v double"), ["team"], "v").collect()[0]
+    by = [np.array([v for t, v in rows if t == k]) for k in range(4)]
+    sizes, whole = np.array([len(x) for x in by]), np.mean([v for _, v in rows])
+    msb = sum(len(x) * (x.mean() - whole) ** 2 for x in by) / 3
+    msw = sum(((x - x.mean()) ** 2).sum() for x in by) / (37 - 4)
+    k0 = (37 - (sizes ** 2).sum() / 37) / 3
     assert np.allclose([a.msb, a.msw, a.k0, a.icc], [msb, msw, k0, (msb - msw) / (msb + (k0 - 1) * msw)])
-    cases = {"a": ([6000, 6000, 6000, 9000, 3000], [2, 2, 2, 3, 1]), "b": ([7000, 6500, 7700, 5800, 3000], [2, 2, 3, 2, 1]),
-             "c": ([9000, 6000, 7500, 1500, 6000], [3, 2, 3, 0, 2]), "d": ([3, 3, 3, 0, 0], [4, 3, 3, 0, 0])}
+
+
+def test_shape_against_largest_remainders(spark):
+    r = random.Random(26)
     groups = ["CB", "FB", "MID", "WIDE", "FWD"]
-    rows = [(t, g, m) for t, (ms, _) in cases.items() for g, m in zip(groups, ms)]
-    got = gr.shape(spark.createDataFrame(rows, "team string, grp string, minutes long"), "team", groups).collect()
-    for t, (_, want) in cases.items():
-        assert [next(r.places for r in got if r.team == t and r.grp == g) for g in groups] == want
+    minutes = {t: [r.choice([0, 400, 400, r.randint(1, 9000)]) for _ in groups] for t in range(60)}
+    minutes = {t: ms for t, ms in minutes.items() if sum(ms)}
+    rows = [(t, g, m) for t, ms in minutes.items() for g, m in zip(groups, ms)]
+    got = {(x.team, x.grp): x.places for x in gr.shape(spark.createDataFrame(rows, "team long, grp string, minutes long"), "team", groups).collect()}
+    for t, ms in minutes.items():
+        want = [10 * m // sum(ms) for m in ms]
+        for i in sorted(range(5), key=lambda i: (-(10 * ms[i] % sum(ms)), i))[:10 - sum(want)]:
+            want[i] += 1
+        assert [got[t, g] for g in groups] == want
 
 
 def test_text(spark):
-    rows = [("Sébastien Wüthrich", "sebastien wuthrich"), (None, ""), ("Selnæs", "selnaes"), ("Ødegaard", "odegaard"), ("Łukasz Fabiański", "lukasz fabianski"),
-            ("Ｆｕｌｌ width", "full width"), ("éa", "ea"), ("Straße", "strasse"), ("ĲSSEL", "ijssel")]
+    rows = [("Zoë  Ærøskøbing-Nuñez", "zoe aeroskobing nunez"), (None, ""), ("ÐÞ", "dth"), (" \tŁódź!! 7 ", "lodz 7"), ("Ａｂｃ １２", "abc 12"), ("Cœur, Groß", "coeur gross"), ("Ǆ ﬀ", "dz ff")]
     df = spark.createDataFrame(rows, "raw string, want string")
     assert df.filter(tx.fold(F.col("raw")) != F.col("want")).count() == 0
-    places = [("Left Wing Back", "FB"), ("Center Attacking Midfield", "WIDE"), ("Right Midfield", "WIDE"), ("Right Center Midfield", "MID"), ("Substitute", None)]
-    df = spark.createDataFrame(places, "raw string, want string")
+    names = ["Goalkeeper", "Left Center Back", "Right Back", "Left Defensive Midfield", "Center Midfield", "Left Wing", "Right Attacking Midfield", "Left Midfield", "Center Forward", "Referee"]
+    want = ["GK", "CB", "FB", "MID", "MID", "WIDE", "WIDE", "WIDE", "FWD", None]
+    df = spark.createDataFrame(list(zip(names, want)), "raw string, want string")
     assert df.filter(~tx.position_group(F.col("raw")).eqNullSafe(F.col("want"))).count() == 0
-    assert [r[0] for r in df.limit(1).select(tx.mapped_position(F.lit("Left-Back")), tx.mapped_position(F.lit("x"))).collect()] == ["FB"]
-    clubs = [("FC Barcelona", "barcelona"), ("Udinese Calcio", "udinese"), ("Real Betis Balompié SAD", "real betis balompie"), ("AS Monaco", "monaco")]
+    for name, group in tx.POSITION_GROUPS.items():
+        assert df.limit(1).select(tx.mapped_position(F.lit(name))).first()[0] == group
+    assert df.limit(1).select(tx.mapped_position(F.lit("Referee"))).first()[0] is None
+    clubs = [(f"{w.upper()} Kräbbendorf {w}", "krabbendorf") for w in tx.CLUB_STOP_WORDS]
     assert spark.createDataFrame(clubs, "raw string, want string").filter(tx.fold_club(F.col("raw")) != F.col("want")).count() == 0
-    bands = [(999_999, 0), (1_000_000, 1), (2_499_999, 1), (2_500_000, 2), (39_999_999, 5), (40_000_000, 6)]
-    assert spark.createDataFrame(bands, "p long, b int").filter(nm.band(F.col("p")) != F.col("b")).count() == 0
+    edges = [1, 5, 30]
+    bands = [(p, sum(p >= e for e in edges)) for p in (0, 1, 2, 4, 5, 29, 30, 31)]
+    assert spark.createDataFrame(bands, "p long, b int").filter(nm.band(F.col("p"), edges) != F.col("b")).count() == 0
 
 
 def edits(a, b):
@@ -181,10 +225,18 @@ def test_best_two_are_the_true_ones(spark):
         assert {o for x, o in hits if x == i} == {o for v, o in s if -v >= 0.75}
 
 
-def test_assignment(spark):
-    s = [[0.9, 0.8, 0.1], [0.9, 0.1, 0.2], [0.3, 0.2, 0.7]]
-    df = spark.createDataFrame([("b", i, j, s[i][j]) for i in range(3) for j in range(3)], "blk string, r int, c int, score double")
-    assert {x.r: x.c for x in lk.assign(df, ["blk"], "r", "c").collect()} == {0: 1, 1: 0, 2: 2}
+def test_assignment_against_permutations(spark):
+    r = random.Random(27)
+    rows = [(f"b{k}", i, j, round(r.random(), 3)) for k in range(4) for i in range(k + 1) for j in range(4)]
+    df = spark.createDataFrame(rows, "blk string, r int, c int, score double")
+    score = {x[:3]: x[3] for x in rows}
+    got = {}
+    for x in lk.assign(df, ["blk"], "r", "c").collect():
+        got.setdefault(x.blk, {})[x.r] = x.c
+    for k in range(4):
+        own = got[f"b{k}"]
+        best = max(sum(score[f"b{k}", i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(4), k + 1))
+        assert len(set(own.values())) == len(own) == k + 1 and np.isclose(sum(score[f"b{k}", i, c] for i, c in own.items()), best)
 
 
 def test_tiles_do_not_change_results(spark):
