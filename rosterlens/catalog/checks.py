@@ -270,8 +270,7 @@ def _(v):
 def _(v):
     ms = F.round(F.col("seconds") * 1000).cast("long")
     events = v.action.select("game", "period", "team", "player", ms.alias("ms"))
-    per = jn.band_pairs(events, ["game", "period", "team"], "player", "ms", 300_000)
-    return per.groupBy("team", "player_a", "player_b").agg(F.sum("n").alias("n"))
+    return jn.band_pairs(events, ["game", "period", "team"], "player", "ms", 300_000, by=["team"])
 
 
 @query("J8_as_of_latest", """

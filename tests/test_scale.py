@@ -120,3 +120,27 @@ def test_lookup_keeps_every_row(spark):
     small = df.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("k <> 'k0'")
     out = lookup(df, small, ["k"])
     assert out.count() == df.count() and out.filter("n is null").select("k").distinct().count() == 1
+
+
+def test_band_pairs_keep_what_links_need(spark):
+    """Counts summed over blocks, in tiles of few players; the reduced counts give the links of all counts."""
+    import collections
+    import itertools
+
+    from rosterlens.operators.graph import merged_kinds
+
+    rng = np.random.default_rng(5)
+    events = [(int(g), int(g) % 2, int(p), int(t)) for g, p, t in zip(rng.integers(0, 4, 260), rng.integers(0, 11, 260), rng.integers(0, 300, 260))]
+    want = collections.Counter()
+    for (g, team, p, t), (h, _, q, u) in itertools.combinations(events, 2):
+        if g == h and p != q and abs(t - u) <= 9:
+            want[team, min(p, q), max(p, q)] += 1
+    df = spark.createDataFrame([*events, (None, 0, 1, 1), (0, 0, None, 1), (0, 0, 1, None)], "game int, team int, player long, ms long")
+    for rows in (None, 2):
+        counts = band_pairs(df, ["game", "team"], "player", "ms", 9, rows=rows, by=["team"])
+        assert rows_of(counts, "team", "player_a", "player_b", "n") == sorted(((*k, n) for k, n in want.items()), key=repr)
+        passes = spark.createDataFrame([(0, 1, 2, 3), (0, 2, 9, 2), (1, 0, 10, 5), (1, 3, 99, 4)], "team int, player_a long, player_b long, n long")
+        some = band_pairs(df, ["game", "team"], "player", "ms", 9, rows=rows, by=["team"], keep=(2, 2), wanted=passes)
+        a, b = (sorted(map(tuple, merged_kinds(passes, c, ["team"], least=2, partners=2).collect())) for c in (counts, some))
+        assert a == b
+    assert some.count() < counts.count()
