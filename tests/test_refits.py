@@ -204,3 +204,40 @@ def test_learned_link_scores_and_features(spark):
     rows = spark.createDataFrame([(1, "a", 2.0, 1.0), (1, "b", 3.0, 3.0), (2, "z", 1.0, None), (3, None, 1.0, 5.0)], "player long, g string, m double, x double")
     got = {r.player: tuple(r)[1:] for r in gh.node_features(rows, "player", "g", ["a", "b"], {"x": F.col("x")}, F.col("m")).collect()}
     assert got == {1: (2.0, 0, 1, 0), 2: (0.0, 0, 0, 1), 3: (5.0, 0, 0, 1)}
+
+
+def test_fronts_of_many_sets_at_once(spark):
+    r = random.Random(8)
+    rows = [(f"k{i % 5}", i, float(r.randint(1, 9)), float(r.randint(0, 9)), 0.1) for i in range(70)]
+    df = spark.createDataFrame(rows, "club string, id long, price double, value double, sd double")
+    seg, cost, total, var, ids = (np.array(x) for x in zip(*((int(c[1]), p, v, s * s, i) for c, i, p, v, s in rows)))
+    held = up._Fronts(2, 15.0).singles(seg, cost, total, var, ids)
+    direct = sorted((f"k{s}", int(a), c, t, [int(i) for i in x if i != up.NONE]) for s, a, c, t, x in zip(*held[:4], held[5]) if a)
+    for block in (2, 256):
+        got = sorted((x.club, x.a, x.cost, x.total, x.in_ids) for x in up.choices(df, ["club"], 2, 15.0, block).collect())
+        assert got == direct
+    for club in {c for c, *_ in rows}:
+        for a in (1, 2):
+            every = [(sum(x[2] for x in c), -sum(x[3] for x in c), sorted(x[1] for x in c)) for c in itertools.combinations([x for x in rows if x[0] == club], a)]
+            front, best = [], -1.0
+            for c, t, x in sorted(every):
+                if c <= 15.0 and -t > best:
+                    front.append((club, a, c, -t, x))
+                    best = -t
+            assert [x for x in direct if x[:2] == (club, a)] == front
+
+
+def test_random_squads_take_the_first_of_all_rows(spark):
+    import hashlib
+
+    r = random.Random(4)
+    rows = [(i, "A" if i % 3 else "B" if i % 2 else "C", float(r.randint(1, 9)), float(i)) for i in range(150)] + [(500, "D", 1.0, 1.0), (7, "A", 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "id long, grp string, price double, value double").repartition(5)
+    quotas = {"A": 3, "B": 1, "C": 2, "D": 2}
+    got = {x.draw: (x.cost, x.value, x.players) for x in up.random_squads(df.withColumn("price", F.col("id") * 0.5), quotas, F.lit(1e9), 6).collect()}
+    for d in range(6):
+        mark = lambda i: (int(hashlib.md5(f"0-{d}-{i}".encode()).hexdigest()[:8], 16), i)  # noqa: E731, B023
+        picked = [x for g, q in quotas.items() for x in sorted((x for x in rows if x[1] == g), key=lambda x: mark(x[0]))[:q]]
+        assert got[d][2] == len(picked) and np.isclose(got[d][0], sum(x[0] * 0.5 for x in picked))
+    plan = up.random_squads(df, quotas, F.lit(1e9), 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bound" in plan
