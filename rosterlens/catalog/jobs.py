@@ -10,6 +10,7 @@ from ..operators import joins as jn
 from ..operators import elastic as el
 from ..operators import learners as ln
 from ..operators import profiles as pf
+from ..operators import replicates as rp
 from ..operators import resample as rs
 from ..operators import scoring as sc
 from ..operators import search as se
@@ -428,15 +429,5 @@ MARGIN = """
     with {MARGIN} select cast(replicate as int) as replicate, round((sp - sq) / (a * b), 6) as margin from au""")
 def _(v):
     rows = v.prob.select("id", "y", "p", (F.col("n_chars") % 100 / 100).alias("q"))
-    mult = rs.draws(rows, "y", "id", 2000)
-    drawn = mult.join(rows.select("id", "p", "q"), "id")
-
-    def area(score):
-        ranks = rs.weighted_middle_ranks(drawn, ["replicate"], score, "times").select("replicate", score, "rank")
-        j = drawn.join(ranks, ["replicate", score])
-        a, b = F.sum(F.when(F.col("y") == 1, F.col("times"))), F.sum(F.when(F.col("y") == 0, F.col("times")))
-        s = F.sum(F.when(F.col("y") == 1, F.col("times") * F.col("rank")))
-        return j.groupBy("replicate").agg(((s - a * (a + 1) / 2) / (a * b)).alias(f"auc_{score}"))
-
-    both = area("p").join(area("q"), "replicate")
+    both = rp.areas(rows, "y", "id", ["p", "q"], 2000)
     return rounded(both.select("replicate", (F.col("auc_p") - F.col("auc_q")).alias("margin")))
