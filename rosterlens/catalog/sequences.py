@@ -23,13 +23,13 @@ def _(v):
 
 @query("W3_creation_flag", "select game, period, action, creates from v_seq")
 def _(v):
-    return v.sequenced.select("game", "period", "action", "creates")
+    return v.sequenced_once.select("game", "period", "action", "creates")
 
 
 @query("W4_time_to_zone", """
     select game, period, cast(seq as bigint) as seq, round(seconds, 6) as seconds from v_times""")
 def _(v):
-    return rounded(v.times)
+    return rounded(sq.buildup_times(v.sequenced_once))
 
 
 @query("W5_receivers", """
