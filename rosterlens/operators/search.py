@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 from ..scale import group_values, lookup, partitions
 
 TILE_ROWS = 1024
+#: Tiles of a search for the best few, which never holds a value for each pair of two tiles.
+NEAREST_TILE_ROWS = 4096
+_STRIP = 256
 
 
 def tiled(rows: DataFrame, block: Sequence[str], id: str, vector: str, side: str,
@@ -50,6 +53,38 @@ def pair_values(a: np.ndarray, b: np.ndarray, measure: str) -> np.ndarray:
     return np.sqrt(out)
 
 
+def _values_at(a: np.ndarray, b: np.ndarray, measure: str) -> np.ndarray:
+    """pair_values of row k of a with row k of b."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k] if measure == "dot" else (a[:, k] - b[:, k]) ** 2
+    return out if measure == "dot" else np.sqrt(out)
+
+
+def best_pairs(a: np.ndarray, b: np.ndarray, measure: str, n: int, allowed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of a, row of b and value of the pairs that may be among a row's n best, ties included.
+
+    Products of matrices give each value up to a rounding error; what is within twice that of the n-th
+    best is worked out exactly. ``allowed(lo, hi)`` masks the pairs of those rows of a.
+    """
+    found, last = [], min(n, len(b)) - 1
+    far = (np.nan_to_num(b) ** 2).sum(axis=1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        for lo in range(0, len(a), _STRIP):
+            strip = a[lo:lo + _STRIP]
+            near = (np.nan_to_num(strip) ** 2).sum(axis=1)
+            rough = -2.0 * (strip @ b.T)
+            if measure != "dot":
+                rough += near[:, None] + (b ** 2).sum(axis=1)
+            rough[~allowed(lo, lo + len(strip)) | np.isnan(rough)] = np.inf
+            error = 1e-14 * (16 + a.shape[1]) * (near + far.max(initial=0.0))
+            bound = np.partition(rough, last, axis=1)[:, last] + 4 * error
+            at, cols = np.nonzero((rough <= bound[:, None]) & (rough < np.inf))
+            found.append((at + lo, cols))
+    at, cols = (np.concatenate([f[k] for f in found] or [np.zeros(0, int)]) for k in range(2))
+    return at, cols, _values_at(a[at], b[cols], measure)
+
+
 def _tile_pairs(left: DataFrame, right: DataFrame, block: Sequence[str]) -> DataFrame:
     """Every left tile with every right tile of its block.
 
@@ -69,7 +104,7 @@ def _tile_pairs(left: DataFrame, right: DataFrame, block: Sequence[str]) -> Data
 def nearest(left: DataFrame, right: DataFrame, block: Sequence[str], id: str, left_vector: str,
             right_vector: str, n: int, measure: str = "distance", right_id: str | None = None,
             home: str | None = None, seen: str | None = None, positive: bool = False,
-            tile_rows: int = TILE_ROWS) -> DataFrame:
+            tile_rows: int = NEAREST_TILE_ROWS) -> DataFrame:
     """The n best right rows per left row within a block, ties by id: (id, other, value, place).
 
     The smallest distances, or the largest dot products (only above zero when ``positive``).
@@ -86,25 +121,25 @@ def nearest(left: DataFrame, right: DataFrame, block: Sequence[str], id: str, le
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 ids, others = np.asarray(row["l_id"]), np.asarray(row["r_id"])
-                values = pair_values(_matrix(row["l_v"]), _matrix(row["r_v"]), measure)
-                keyed = sign * values
-                if right_id is None:
-                    keyed[ids[:, None] == others[None, :]] = np.inf
-                if positive:
-                    keyed[values <= 0] = np.inf
-                if home:
-                    at_home = np.asarray(row[f"l_{home}"])
-                    for j, clubs in enumerate(row[f"r_{seen}"]):
-                        if clubs is not None and len(clubs):
-                            keyed[np.isin(at_home, np.asarray(clubs)), j] = np.inf
-                order = np.argsort(others, kind="stable")
-                keyed, others, values = keyed[:, order], others[order], values[:, order]
-                top = np.argsort(keyed, axis=1, kind="stable")[:, :n]
-                at = np.repeat(np.arange(len(ids)), top.shape[1])
-                cols = top.ravel()
-                ok = np.isfinite(keyed[at, cols])
-                yield pd.DataFrame({"id": ids[at[ok]], "other": others[cols[ok]],
-                                    "value": values[at[ok], cols[ok]]})
+                at_home = np.asarray(row[f"l_{home}"]) if home else None
+                clubs = [np.asarray(c if c is not None else []) for c in row[f"r_{seen}"]] if home else []
+
+                def allowed(lo, hi):
+                    ok = np.ones((hi - lo, len(others)), dtype=bool)
+                    if right_id is None:
+                        ok &= ids[lo:hi, None] != others[None, :]
+                    for j, seen_at in enumerate(clubs):
+                        if len(seen_at):
+                            ok[:, j] &= ~np.isin(at_home[lo:hi], seen_at)
+                    return ok
+
+                at, cols, values = best_pairs(_matrix(row["l_v"]), _matrix(row["r_v"]), measure, n, allowed)
+                ok = np.isfinite(values) & ((values > 0) | (not positive))
+                at, cols, values = at[ok], cols[ok], values[ok]
+                order = np.lexsort((others[cols], sign * values, at))
+                at, cols, values = at[order], cols[order], values[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                yield pd.DataFrame({"id": ids[at], "other": others[cols], "value": values})[place < n]
 
     found = _tile_pairs(lt, rt, block).mapInPandas(best, schema)
     w = Window.partitionBy("id").orderBy(F.col("value") * sign, "other")
