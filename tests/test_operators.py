@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rosterlens.functions import edits as ed
 from rosterlens.functions import numbers as nm
 from rosterlens.functions import text as tx
 from rosterlens.operators import checks as ck
@@ -225,6 +226,36 @@ def test_best_two_are_the_true_ones(spark):
         assert {o for x, o in hits if x == i} == {o for v, o in s if -v >= 0.75}
 
 
+def test_edit_distances_of_any_length():
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcé ") for _ in range(r.randint(1, n)))
+    names, others = ([word(12) for _ in range(30)] + [word(130) for _ in range(6)] + last for last in (["", "x" * 64, "ab" * 33], ["", "ab" * 32, "é"]))
+    seen = 0
+    for at, found in ed.distances(names, others):
+        for i, row in zip(at, found):
+            assert row.tolist() == [edits(names[i], o) for o in others]
+            seen += 1
+    assert seen == len(names)
+
+
+def test_best_two_meet_each_text_once(spark):
+    """Copies of names and targets, ids and others that repeat or are null: no pair of copies is met."""
+    left = spark.range(30_000).selectExpr("if(id % 3 = 0, null, id div 2) as id", "id % 2 as block", "concat('name ', id % 5) as name", "cast(null as string) as nick")
+    right = spark.range(30_000).selectExpr("if(id = 4, null, 50000 - id div 2) as other", "if(id % 7 = 0, null, id % 2) as block", "concat('name ', id % 4) as target")
+    best = lk.best_two(left, right, ["block"], "id", "other", ["name", "nick"], "target")
+    got = {(x.id, x.place): (x.other, round(x.score, 9)) for x in best.filter("id < 200 or id is null").collect()}
+    known = [(k, None if k == 4 else 50000 - k // 2, k % 2, k % 4) for k in range(30_000) if k % 7]
+    for i in range(200):
+        asked = {(k % 2, k % 5) for k in (2 * i, 2 * i + 1) if k % 3}
+        pairs = {}
+        for block, name in asked:
+            for _, o, b, t in known:
+                if b == block:
+                    pairs[block, o] = max(pairs.get((block, o), 0), 1.0 if t == name else round(1 - 1 / 6, 9))
+        want = sorted(((-v, o is not None, o or 0) for (_, o), v in pairs.items()))[:2]
+        assert [got[i, p] for p in (1, 2)] == [(o if known_ else None, -v) for v, known_, o in want]
+
+
 def test_assignment_against_permutations(spark):
     r = random.Random(27)
     rows = [(f"b{k}", i, j, round(r.random(), 3)) for k in range(4) for i in range(k + 1) for j in range(4)]
