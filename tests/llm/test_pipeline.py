@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from rosterlens.llm import secrets, simhash
+from rosterlens.llm import minhash, secrets, simhash
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="generated tables absent")
@@ -71,3 +71,31 @@ def test_near_copies_against_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, FOLDER).collect()}
     assert kept == {find(i) for i in range(len(texts))}
+
+
+def test_no_row_for_each_pair_of_a_group(spark, monkeypatch):
+    """A hot group of copies too far edited to link: what meets what is worked out in tasks, of large buckets part by part."""
+    rng = random.Random(4)
+    base = [f"h{rng.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for k in range(300):
+        copy = list(base)
+        for _ in range(rng.randrange(2, 9)):
+            copy[rng.randrange(120)] = f"v{k} {rng.randrange(5000)}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    group = list(range(300))
+    for a in range(300):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common) and group[a] != group[b]:
+                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    asked = []
+    whole = minhash._alike
+    monkeypatch.setattr(minhash, "_alike", lambda pairs, *rest: (asked.append(pairs.count()), whole(pairs, *rest))[1])
+    for tile in (minhash.TILE, 16):
+        monkeypatch.setattr(minhash, "TILE", tile)
+        found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 5, 0.8).collect()}
+        assert found == dict(enumerate(group))
+    assert 1 < len(set(group)) < 300 and len(asked) == 4 and max(asked) <= 300 * minhash.BANDS
