@@ -241,3 +241,28 @@ def test_random_squads_take_the_first_of_all_rows(spark):
         assert got[d][2] == len(picked) and np.isclose(got[d][0], sum(x[0] * 0.5 for x in picked))
     plan = up.random_squads(df, quotas, F.lit(1e9), 6)._jdf.queryExecution().optimizedPlan().toString()
     assert "_bound" in plan
+
+
+def test_predictors_of_drawn_replicates():
+    """P1 to P4 and the noise of a part's rows, a replicate without draws left out, one without a fit unknown."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    n, size = 150, 9
+    x, y, m, y2, m2 = r.normal(size=(n, 3)), r.normal(size=n), r.uniform(90, 900, n), r.normal(size=n), r.uniform(90, 900, n)
+    left = pa.table({"_x": pa.array(x.tolist()), "_y": y, "_m": m, "_y2": y2, "_m2": m2})
+    b, phi, tau2 = r.normal(size=(size, 2, 3)), r.uniform(1, 2, size) / 100, r.uniform(0, 1, (size, 2))
+    fits = [{"replicate": k, "variant": v, "phi": phi[k], "tau2": tau2[k, i], "mean": 0.3, "coefficients": b[k, i].tolist()} for k in range(size) if k != 4 for i, v in enumerate(("slope", "flat"))]
+    side = {"_times": [{"replicate": k, "times": k} for k in range(1, size)], "_levels": [{"replicate": k, "c1": 0.1 * k, "c2": -0.2 * k} for k in range(size)], "_fits": fits}
+    found = list(rf._predicted(left, pa.table({k: pa.array([v]) for k, v in side.items()}), size, ("slope", "flat")))
+    assert len(found) > 1 and all(f[0].tolist() == f[1].tolist() == list(range(1, size)) for f in found)
+    preds = [np.concatenate([f[3][i] for f in found], axis=1) for i in range(4)]
+    target, noise = np.concatenate([f[2] for f in found], axis=1), sum(f[4] for f in found)
+    for i, k in enumerate(range(1, size)):
+        psi, line = 8100 * phi[k] / m, [0.3 + x @ b[k, j] for j in range(2)]
+        theta = [xb + tau2[k, j] / (tau2[k, j] + psi) * (y - xb) - 0.1 * k for j, xb in enumerate(line)]
+        want = [line[0] - 0.1 * k, y - 0.1 * k, *theta]
+        assert np.allclose(target[i], y2 + 0.2 * k)
+        for j in range(4):
+            assert np.isnan(preds[j][i]).all() if k == 4 and j != 1 else np.allclose(preds[j][i], want[j])
+        assert np.isnan(noise[i]) if k == 4 else np.isclose(noise[i], (8100 * phi[k] / m2).sum())
