@@ -15,7 +15,7 @@ from ..operators import resample as rs
 from ..operators import scoring as sc
 from ..operators import search as se
 from ..operators import sequences as sq
-from ..session import scratch_folder
+from ..session import checkpointed, scratch_folder
 from ..sources import readers as rd
 from .registry import query, rounded
 from .sequences import ALL, HALF_SQL, PROFILE_SQL, halves, left_out, profiles
@@ -214,7 +214,7 @@ def _(v):
 def _(v):
     p = tier_predictions(v)
     wide = p.groupBy("id", "grp", "y", "psi2").pivot("model", list(TIERS)).agg(F.first("prediction"))
-    wide = wide.join(p.filter("model = 'T1'").select("id", "outer"), "id")
+    wide = checkpointed(wide.join(p.filter("model = 'T1'").select("id", "outer"), "id"))  # read for the baseline and the scores
     fold = wide.groupBy("outer").agg(F.sum("y").alias("_s"), F.count(F.lit(1)).alias("_n"))
     whole = fold.agg(F.sum("_s").alias("_sa"), F.sum("_n").alias("_na"))
     # the baseline: the mean of the other folds' rows
