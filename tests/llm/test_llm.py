@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -14,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rosterlens.llm import bpe, langid, lm, merkle, packing, quality, runs, secrets, simhash, token_counts, token_files, topk, toxicity
+from rosterlens.llm import bpe, langid, lm, merkle, packing, quality, runs, secrets, simhash, token_counts, token_files, tokens, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, piece string, score string, ids string"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -85,6 +86,22 @@ def test_token_files(docs, empty):
     assert token_files.read_token_files(token_files.write_token_files(empty, path, end_id=2, files=2)).count() == 0
 
 
+def test_word_vocabulary_by_pieces():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    encoder, rng = tokens.library_encoder(path, keeps_space=False), random.Random(3)
+    steady = ["'", "'s", "'S", "'re", "'LL", "'vE", "d", "T", "r", "e", "l", "ll", " ", "  ", "\n", "\t", "\r", "9", "12", "B", "\u00e9", "\u00c9", "\u0131", "\u017f", "\u00df", "\u0132", "\u0149", ".", "$$", "_", "<|endoftext|>", "don't", "word"]
+    odd = ["\u00d7", "\u00f7", "\u0130", "\u4e16", "\u0301", "\x0b", "\x01", "\x85", "\u00a0", "\u212a", "\u00b5", "\U0001f600", "\u03a3"]
+    plain = ["".join(rng.choices(steady, k=rng.randint(0, 30))) for _ in range(3000)] + ["", "'", "''s", "it's's", "x" * 3000, "1" * 200]
+    encoder.forget()
+    found = list(encoder.encode(pa.array([*plain, None]), 5000))
+    assert not encoder.memo.new  # steady texts are not taken apart into words
+    mixed = ["".join(rng.choices(steady + odd, k=rng.randint(0, 20))) for _ in range(2000)]
+    found += encoder.encode(pa.array(mixed), 5000)
+    assert found == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in [*plain, "", *mixed]]
+
+
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 4000])
 @pytest.mark.parametrize("top", [1, 2, 50_000, 2**32])
 def test_blocks_round_trip(n, top):
