@@ -99,3 +99,20 @@ def test_no_row_for_each_pair_of_a_group(spark, monkeypatch):
         found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 5, 0.8).collect()}
         assert found == dict(enumerate(group))
     assert 1 < len(set(group)) < 300 and len(asked) == 4 and max(asked) <= 300 * minhash.BANDS
+
+
+def test_few_links_stay_in_few_tasks(spark):
+    """A few links in the many partitions of a large job: each task before a shuffle would leave files of its own."""
+    options = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        links = spark.createDataFrame([(i, i + 10) for i in range(100)], "a long, b long")
+        found = simhash.contracted(links)
+        assert {(r.node, r.root) for r in found.collect()} == {(i, i % 10) for i in range(10, 110)}
+        assert found.rdd.getNumPartitions() <= 16
+        assert simhash.contracted(links.where("a < 0")).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
