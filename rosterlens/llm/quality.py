@@ -15,22 +15,34 @@ from .common import WORD, sealed
 COMMON = 40
 #: Character classes, in the order in which they are taken out of a text; what is left is the last class.
 CLASSES = (("lower", "[a-z]+"), ("white", r"[\x20\x09-\x0D]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("mark", r"[.,;:!?'\"()-]+"), ("symbol", "[#*$%&|<>]+"))
+WHITE = " \t\n\x0b\x0c\r"
 #: Distances (square roots of divergences in bits, 0 to 1) above which a text is rejected, and the words it must have to be judged.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, LEAST_CHARS, LEAST_WORDS = 0.30, 0.45, 200, 80
 
 
+def _replaced_each(text: Column, characters: str, by: str) -> Column:
+    """`text` with each of the characters replaced; plain replacements cost far less than a pattern."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(by))
+    return text
+
+
 def _class_counts(df: DataFrame) -> DataFrame:
-    """Adds `classes`, the number of characters of each class; each step reads only what the one before has left."""
-    rest, counts = "_text", []
-    for k, (_, pattern) in enumerate(CLASSES):
-        df = df.withColumn(f"_r{k}", F.regexp_replace(rest, pattern, ""))
-        counts.append(F.length(rest) - F.length(f"_r{k}"))
-        rest = f"_r{k}"
-    return df.withColumn("classes", F.array(*counts, F.length(rest))).drop(*(f"_r{k}" for k in range(len(CLASSES))))
+    """Adds `classes`, the number of characters of each class; each step reads only what the one before has left.
+    White space goes first, so that the next pattern meets runs of many words."""
+    df = df.withColumn("_r", _replaced_each(F.col("_text"), WHITE, ""))
+    rest, counts = "_r", {"white": F.length("_text") - F.length("_r")}
+    for k, (name, pattern) in enumerate(CLASSES):
+        if name != "white":
+            df = df.withColumn(f"_r{k}", F.regexp_replace(rest, pattern, ""))
+            counts[name] = F.length(rest) - F.length(f"_r{k}")
+            rest = f"_r{k}"
+    return df.withColumn("classes", F.array(*(counts[name] for name, _ in CLASSES), F.length(rest))).drop("_r", *(f"_r{k}" for k in range(len(CLASSES))))
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    """The words by WORD."""
+    return F.array_remove(F.split(_replaced_each(text, WHITE[1:], " "), " ", -1), "")
 
 
 def references(docs: DataFrame, common: int = COMMON) -> dict[str, tuple[list[float], list[tuple[str, float]]]]:
@@ -65,16 +77,18 @@ def _repeat_words(df: DataFrame) -> DataFrame:
 
     A first sort of plain numbers, the upper bits of a window's 64-bit hash above its place, finds the
     windows that may repeat; they alone are then compared by their whole hashes. Every array is a column
-    of its own, so that no step computes another's again for each element.
+    of its own, so that no step computes another's again for each element. Most texts have no window twice, and
+    are done when their hashes are counted.
     """
     df = df.withColumn("_n", F.greatest(F.size("_words") - 2, F.lit(0)))
-    df = df.withColumn("_windows", F.when(F.col("_n") > 0, F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.xxhash64(F.col("_words")[i], F.col("_words")[i + 1], F.col("_words")[i + 2]))))
+    df = df.withColumn("_windows", F.transform(F.slice("_words", F.lit(1), F.col("_n")), lambda w, i: F.xxhash64(w, F.col("_words")[i + 1], F.col("_words")[i + 2])))
+    df = df.withColumn("_n", F.when(F.size(F.array_distinct("_windows")) < F.col("_n"), F.col("_n")))
     low = (1 << _PLACE_BITS) - 1
     df = df.withColumn("_packed", F.when(F.col("_n") <= low, F.sort_array(F.transform("_windows", lambda h, i: F.shiftleft(h, _PLACE_BITS).bitwiseOR(i.cast("long"))))))
     same = lambda x, at: F.shiftright(x, _PLACE_BITS) == F.shiftright(F.get(F.col("_packed"), at), _PLACE_BITS)
     df = df.withColumn("_maybe", F.filter("_packed", lambda x, i: F.coalesce(same(x, i + 1), F.lit(False)) | F.coalesce(same(x, i - 1), F.lit(False))))
     # a text of more words than places have bits for is compared by whole hashes alone
-    places = F.when(F.col("_n") <= low, F.transform("_maybe", lambda x: x.bitwiseAND(F.lit(low).cast("long")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("_n") - 1))
+    places = F.when(F.col("_n") <= low, F.transform("_maybe", lambda x: x.bitwiseAND(F.lit(low).cast("long")).cast("int"))).when(F.col("_n") > low, F.sequence(F.lit(0), F.col("_n") - 1))
     df = df.withColumn("_sorted", F.sort_array(F.transform(places, lambda i: F.struct(F.col("_windows")[i].alias("h"), i.alias("i")))))
     whole = lambda x, at: F.coalesce(x["h"] == F.get(F.col("_sorted"), at)["h"], F.lit(False))
     df = df.withColumn("_places", F.sort_array(F.transform(F.filter("_sorted", lambda x, i: whole(x, i + 1) | whole(x, i - 1)), lambda x: x["i"])))
@@ -110,15 +124,12 @@ def measured(docs: DataFrame, refs: dict) -> DataFrame:
     common = F.filter("_words", lambda w: w.isin(written)) if every else F.array().cast("array<string>")
     df = df.withColumns({"_chars": chars[F.col("lang")], "_ref": words[F.col("lang")], "_common": F.lower(F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" ")))})
     length = F.octet_length("_common")
-
-    def word_part(acc: Column, r: Column) -> Column:
-        n = (length - F.octet_length(F.replace(F.col("_common"), r["w"], F.lit("")))) / F.octet_length(r["w"])
-        p = n / F.col("n_words")
-        return F.struct((acc["d"] + _part(p, r["q"])).alias("d"), (acc["p"] + p).alias("p"), (acc["q"] + r["q"]).alias("q"))
-
+    # shares in a column of their own: within one expression a lambda would count a word anew wherever its share is named
+    df = df.withColumn("_shares", F.when(F.col("n_words") >= LEAST_WORDS, F.transform("_ref", lambda r: (length - F.octet_length(F.replace(F.col("_common"), r["w"], F.lit("")))) / F.octet_length(r["w"]) / F.col("n_words"))))
     zero = F.lit(0.0)
-    divergence = F.aggregate("_ref", F.struct(zero.alias("d"), zero.alias("p"), zero.alias("q")), word_part,
-                             lambda a: a["d"] + _part(F.greatest(1 - a["p"], zero), F.greatest(1 - a["q"], zero)))
+    summed = lambda values: F.aggregate(values, zero, lambda a, x: a + x)
+    df = df.withColumn("_others", F.greatest(1 - summed(F.col("_shares")), zero))
+    divergence = summed(F.zip_with("_shares", "_ref", lambda p, r: _part(p, r["q"]))) + _part(F.col("_others"), F.greatest(1 - summed(F.transform("_ref", lambda r: r["q"])), zero))
     df = df.withColumns({
         "char_distance": F.when((total >= LEAST_CHARS) & F.col("_chars").isNotNull(), F.sqrt(F.greatest(zero, F.aggregate(F.zip_with("classes", "_chars", lambda n, q: _part(n / total, q)), zero, lambda a, x: a + x)))),
         "word_distance": F.when((F.col("n_words") >= LEAST_WORDS) & F.col("_ref").isNotNull(), F.sqrt(F.greatest(zero, divergence)))})

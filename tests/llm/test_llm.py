@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -393,3 +394,23 @@ def test_runs_against_brute_force(spark, docs, empty):
 def test_runs_of_long_texts_stay_cheap():
     for words in (np.zeros(60_000, np.int64), np.tile(np.arange(11), 6000), np.concatenate([np.r_[100 + i, np.arange(10)] for i in range(6000)])):
         assert len(runs.runs_of(words, np.array([0, len(words)]))) == (words[0] < 100)
+
+
+def test_quality_counts_a_common_word_once(spark, capsys):
+    """A share is counted in one place of the plan, not wherever a distance names it, and stays exact."""
+    rows = [(1, "the cat of the dog " * 30, "en"), (2, "The of\tTHE\x0bof\r\nthE " * 40, "en"), (3, "one two " + "three " * 100, "en"), (4, None, "en"), (5, "a\u00e9 9!# " * 90, "xx")]
+    found = quality.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string"), {"en": ([0.5, 0.2, 0.1, 0.05, 0.05, 0.05, 0.05], [("the", 0.4), ("of", 0.2)])})
+    found.explain()
+    assert capsys.readouterr().out.count("replace(_common") <= 1
+
+    def part(p, q):
+        return sum(x / 2 * math.log2(2 * x / (p + q)) for x in (p, q) if x)
+
+    for r in found.collect():
+        words = WORDS.findall(dict((i, t) for i, t, _ in rows)[r.doc_id] or "")
+        if r.doc_id > 3:
+            assert r.word_distance is None
+            continue
+        shares = [sum(w in (c, c.capitalize(), c.upper()) for w in words) / len(words) for c in ("the", "of")]
+        d = part(shares[0], 0.4) + part(shares[1], 0.2) + part(1 - sum(shares), 0.4)
+        assert r.word_distance == pytest.approx(math.sqrt(d), abs=1e-6) and r.word_chars == sum(map(len, words)) and r.n_words == len(words)
