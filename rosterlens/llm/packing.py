@@ -104,7 +104,8 @@ def _packer(length: str, capacity: int, nearly_full: int, per_task: int, last: b
         sizes = np.diff(np.asarray(members.offsets))
         counts = np.bincount(bin_of[order], weights=sizes, minlength=len(new_fills)).astype(np.int64)
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        return new_fills, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), members.flatten())
+        # of the type that came, or it couldn't be joined to the next batch
+        return new_fills, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), members.flatten(), type=members.type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

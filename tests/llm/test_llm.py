@@ -73,6 +73,15 @@ def test_packing_rounds_lose_nothing(spark):
         packing.pack_best_fit(items.withColumn("length", F.lit(65)), capacity=64).collect()
 
 
+def test_packing_of_many_items_in_one_task(spark):
+    items = spark.range(0, 40_000, 1, 1).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(1000)) + 1).alias("length"))
+    rows = packing.pack_best_fit(items).toPandas().sort_values(["sequence_id", "offset"])  # bins merged in a task meet later items there
+    assert sorted(rows.doc_id) == list(range(40_000))
+    ends, per = rows.offset + rows.length, rows.groupby("sequence_id")
+    assert ends.max() <= 2048 and (rows.offset == per["length"].cumsum() - rows.length).all()
+    assert len(per) <= 1.02 * rows.length.sum() / 2048
+
+
 def test_token_files(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
