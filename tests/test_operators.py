@@ -1,5 +1,6 @@
 """Hand-made cases and brute force on small fixtures."""
 
+import collections
 import itertools
 import random
 
@@ -238,6 +239,29 @@ def test_edit_distances_of_any_length():
     assert seen == len(names)
 
 
+def test_edits_of_all_pairs_of_a_block(spark):
+    """Whatever the texts end with; null texts, keys and blocks, repeated rows, and tiles of two rows."""
+    r = random.Random(9)
+    word = lambda: None if r.random() < 0.1 else "".join(r.choice("abé1") for _ in range(r.randint(0, 9)))
+    left, right = ([(None if i == 3 else i // 2, r.choice([0, 1, 2, None, last]), word()) for i in range(n)] for n, last in ((40, 7), (25, 8)))
+    left, right = left + left[:4], right + right[:3]
+    dfs = [spark.createDataFrame(rows, "id long, block int, text string") for rows in (left, right)]
+    want = collections.Counter((a[0], b[0], None if None in (a[2], b[2]) else edits(a[2], b[2])) for a in left for b in right if a[1] is not None and a[1] == b[1])
+    for rows in (2, None):
+        found = lk.block_edits(dfs[0], dfs[1].withColumnRenamed("id", "other"), ["block"], "id", "other", "text", "text", rows)
+        assert collections.Counter(tuple(x) for x in found.collect()) == want
+    assert lk.block_edits(dfs[0].limit(0), dfs[1].withColumnRenamed("id", "other"), ["block"], "id", "other", "text", "text").count() == 0
+
+
+def test_edit_option_has_every_pair_of_a_nation(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(1, "Customer 12", 4), (2, "Customer 47", 4), (3, None, 4), (4, "x12", 5)], "c_custkey long, c_name string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(8, "Supplier 12", 4), (9, "Customer 12", 4), (10, "y", 6)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = {tuple(x) for x in entry.queries()["X3_levenshtein_option"](spark, str(tmp_path)).collect()}
+    assert found == {(1, 8, 5), (1, 9, 0), (2, 8, 7), (2, 9, 2), (3, 8, None), (3, 9, None)}
+
+
 def test_best_two_meet_each_text_once(spark):
     """Copies of names and targets, ids and others that repeat or are null: no pair of copies is met."""
     left = spark.range(30_000).selectExpr("if(id % 3 = 0, null, id div 2) as id", "id % 2 as block", "concat('name ', id % 5) as name", "cast(null as string) as nick")
