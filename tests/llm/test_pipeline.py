@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rosterlens.llm import minhash, secrets, simhash
@@ -116,3 +117,10 @@ def test_few_links_stay_in_few_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_packing_of_many_documents_in_one_task(spark):
+    docs = spark.range(0, 30_000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('the cat ', cast(1 + id % 40 as int))").alias("text"))
+    rows = corpus_pipeline.packed(spark, docs, "").toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(rows.doc_id) == list(range(30_000)) and (rows.offset + rows.length).max() <= 2048
+    assert (rows.offset == rows.groupby("sequence_id")["length"].cumsum() - rows.length).all()
